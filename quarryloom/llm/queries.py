@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, language, licenses, merkle, mixing, packing
+from . import chat, exact, language, licenses, merkle, mixing, neardup, packing
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(documents(spark, sf_dir))
 
@@ -40,7 +44,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language, op3_pack, op5_exact_dedup, op8_chat_format, op9_fingerprints, op10_licenses)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language, op3_pack, op4_near_dedup, op5_exact_dedup, op8_chat_format, op9_fingerprints, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
