@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, language, licenses, merkle, mixing, neardup, packing
+from . import chat, exact, language, licenses, lm, merkle, mixing, neardup, packing, pii
 from .common import documents
 
 
@@ -28,6 +28,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(documents(spark, sf_dir))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -44,7 +52,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language, op3_pack, op4_near_dedup, op5_exact_dedup, op8_chat_format, op9_fingerprints, op10_licenses)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language, op3_pack, op4_near_dedup, op5_exact_dedup, op6_personal_data, op7_lm_score, op8_chat_format, op9_fingerprints, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
