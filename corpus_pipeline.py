@@ -1,31 +1,50 @@
-"""A corpus pipeline: five stages over the documents, each one operator, written and read again."""
+"""A corpus pipeline: five stages over the documents, each one operator, written and read again.
+
+Every stage works on all its predecessor kept. All but the last return the
+columns of ``documents``; the last one returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryloom.llm import exact, mixing
+from quarryloom.llm import exact, language, mixing, neardup, packing
 from quarryloom.llm.common import documents, written
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, whose language nothing can tell, go."""
+    return language.documents_in_a_language(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id stays."""
     return exact.distinct_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, similarity 0.8), the smallest id stays."""
+    return neardup.one_of_each_group(docs, size=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as many times as the mix of their source takes them."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mix_sources", mix_sources)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack", pack)]
 
-#: Mixing and packing draw and place rows in ways that SQL can't express; tests/llm/test_pipeline.py checks the rows.
+#: Classifying, mixing and packing are beyond SQL; tests/llm/test_pipeline.py checks the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
