@@ -13,7 +13,7 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: Byte-level BPE never merges across these pieces: a word with one space before it, or white space.
 _PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MOST_CACHED = 700_000
+MOST_CACHED = 300_000
 
 
 def _ranks(path: str) -> dict[bytes, int] | None:
