@@ -61,7 +61,7 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     rows = written(digests(docs), "digests")
     index.add(rows)
     # Both sides shuffle here, so that adaptive execution can split a digest that holds a large part of all rows.
-    known = docs.sparkSession.read.parquet(index.path)
+    known = docs.sparkSession.read.schema(index.table().schema).parquet(index.path)
     joined = rows.hint("merge").join(known.hint("merge"), "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
