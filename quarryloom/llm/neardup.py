@@ -9,9 +9,16 @@ meet as minhash does. With 24 bands of 5, a pair of similarity 0.85 is missed
 with a chance of 8e-7, one of 0.9 with 2e-9.
 
 Documents with equal sets are one class before anything is paired. In every
-bucket the members meet its smallest id only; verified links give components,
-and then members of a bucket that lie in different components meet each
-other, so a large group of copies makes as many pairs as it has members.
+bucket the members meet its smallest id only; verified links give components.
+Buckets whose members still lie in different components remain. In one of at
+most ``SMALL`` members these meet each other. Larger ones are joined to groups,
+and every member becomes its difference D from the group's majority set C (the
+shingles that over half of the group have). |x xor y| = |Dx| + |Dy| - 2 |Dx and Dy|,
+so with slack s = |D| - k |x|, k = (1 - J) / (1 + J), a pair is linked exactly if
+s(x) + s(y) <= 2 |Dx and Dy|. Pairs with s(x) + s(y) <= 0 are linked in any case,
+and all of them also to the member of least slack, so that a star stands for
+them; any other pair shares a difference, and one among the rarest of each
+(prefix filtering). No link is lost in either way.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -33,6 +40,8 @@ BASE = 1.02
 TOP = (1 << 15) - 1
 #: A pair whose estimate lies this far below the threshold is not verified: 7 standard errors of the estimate.
 SLACK = 0.25
+#: Members of different components meet each other in buckets of up to this many; larger ones go by differences.
+SMALL = 8
 _MULTIPLY = (np.random.default_rng(20240229).integers(1, 1 << 63, REGISTERS, np.uint64) << np.uint64(1)) | np.uint64(1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
@@ -163,6 +172,67 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, pe
     return written(with_sets.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "near-links")
 
 
+def _differences(docs: DataFrame, groups: DataFrame, size: int) -> DataFrame:
+    """(group, doc_id, n, d): for every document of ``groups`` (doc_id, group) its set's size and what is in its set or in the group's majority set, but not in both."""
+
+    def sets(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                got = [shingles(t, size).view(np.int64) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.list_(pa.int64()))], ["group", "doc_id", "shingles"])
+
+    full = docs.join(groups, "doc_id").dropDuplicates(["doc_id"]).select("group", "doc_id", "text")
+    full = written(full.mapInArrow(sets, "group long, doc_id long, shingles array<long>"), "near-group-sets")
+    members = full.groupBy("group").agg(F.count("*").alias("members"))
+    counts = full.select("group", F.explode("shingles").alias("shingle")).groupBy("group", "shingle").agg(F.count("*").alias("has")).filter("has > 1")
+    # over half of the members have each: a majority set is no larger than twice the mean set
+    centers = counts.join(members, "group").filter("2 * has > members").groupBy("group").agg(F.collect_list("shingle").alias("center"))
+
+    def less(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                t = {k: part.column(part.schema.get_field_index(k)) for k in ("group", "doc_id", "shingles", "center")}
+                own = [x.values.to_numpy() for x in t["shingles"]]
+                d = [np.setxor1d(x, c.values.to_numpy()) if c.is_valid else x for x, c in zip(own, t["center"], strict=True)]
+                yield pa.RecordBatch.from_arrays([t["group"], t["doc_id"], pa.array([len(x) for x in own], pa.int64()), pa.array(d, pa.list_(pa.int64()))], ["group", "doc_id", "n", "d"])
+
+    return written(full.join(centers, "group", "left").mapInArrow(less, "group long, doc_id long, n long, d array<long>"), "near-differences")
+
+
+def _by_difference(buckets: DataFrame, links: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of large ``buckets`` (key, doc_id, center): links that are certain, and candidate pairs, both (a, b).
+
+    Slack is kept in whole numbers, as (100 + percent) |D| - (100 - percent) n.
+    """
+    groups = components(buckets.filter("doc_id != center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")))
+    found = _differences(docs, groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), size)
+    found = found.withColumns({"n_d": F.size("d"), "slack": (100 + percent) * F.size("d") - (100 - percent) * F.col("n")})
+    low = found.groupBy("group").agg(F.min(F.struct("slack", "doc_id")).alias("low"))
+    found = found.join(low, "group")
+    certain = written(found.filter("slack + low.slack <= 0 AND doc_id != low.doc_id").select(F.col("low.doc_id").alias("a"), F.col("doc_id").alias("b")), "near-certain")
+    labels = components(links.unionByName(certain))
+
+    each = found.select("group", "doc_id", "n", "n_d", "slack", F.col("low.slack").alias("low"), F.explode("d").alias("e"))
+    shared = each.groupBy("group", "e").agg(F.count("*").alias("has")).filter("has > 1")
+    by_doc = Window.partitionBy("doc_id")
+    # a difference that no other member has stands before all others and need not be kept
+    at = F.col("n_d") - F.count("*").over(by_doc) + F.row_number().over(by_doc.orderBy("has", "e")) - 1
+    of_least = (F.col("slack") + F.col("low")) / (2 * (100 + percent))
+    of_size = (percent * F.col("slack") - (100 - percent) * 100 * F.col("n")) / (percent * (100 + percent))
+    posts = each.join(shared, ["group", "e"]).withColumn("left", F.col("n_d") - at)
+    posts = posts.filter(F.col("left") >= F.greatest(F.lit(1), F.ceil(of_least), F.ceil(of_size)))
+    posts = posts.join(labels, posts["doc_id"] == labels["id"], "left").select("group", "e", "doc_id", "n", "slack", "left", F.coalesce("component", "doc_id").alias("component"))
+    posts = written(posts, "near-posts")
+    split = posts.groupBy("group", "e").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first < last").select("group", "e")
+    posts = posts.join(split, ["group", "e"], "left_semi")
+    x, y = posts.alias("x"), posts.alias("y")
+    meet = (F.col("x.group") == F.col("y.group")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+    alike = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (2 * (100 + percent) * F.least("x.left", "y.left") >= F.col("x.slack") + F.col("y.slack"))
+    return certain, x.join(y, meet & alike).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs`` (doc_id, text).
 
@@ -187,12 +257,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     labels = components(links)
     of = members.join(labels, members["doc_id"] == labels["id"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    split = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    of = written(of.join(split, "key", "left_semi"), "near-split")
-    x, y = of.alias("x"), of.alias("y")
+    split = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"), F.min("doc_id").alias("center")).filter("low < high").drop("low", "high")
+    of = written(of.join(split, "key"), "near-split")
+    small, large = of.filter(F.col("rows") <= SMALL), of.filter(F.col("rows") > SMALL)
+    x, y = small.alias("x"), small.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")))
-    cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _verified(written(cross, "near-cross"), docs, nodes, size, percent)
+    cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    certain, others = _by_difference(large.select("key", "doc_id", "center"), links, docs, size, percent)
+    cross = cross.unionByName(others).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = certain.unionByName(_verified(written(cross, "near-cross"), docs, nodes, size, percent))
 
     same = some.join(classes, ["n", "d1", "d2"]).filter("doc_id != class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.unionByName(more).unionByName(same))
