@@ -147,6 +147,24 @@ def components_by_force(docs, size, percent):
     return of
 
 
+@pytest.mark.parametrize("small", [0, 3, 1000])
+def test_near_duplicates_of_a_large_loose_group_equal_brute_force(spark, monkeypatch, small):
+    """Members of one group, less and more alike than the threshold: by differences (large buckets) as by pairs (small ones)."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    made = []
+    for doc_id in range(160):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(0, 7), replace=False):
+            words[at] = f"v{at}-{rng.integers(3)}"
+        made.append((doc_id, " ".join(words[: 120 - int(rng.integers(0, 12))])))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 3, 85).collect()}
+    label = components_by_force(made, 3, 85)
+    assert got == label
+    assert len(set(label.values())) > 5
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     base = [f"w{k}" for k in rng.integers(0, 500, 120)]
