@@ -132,7 +132,7 @@ def sketched(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, keys array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class ids whose sets are similar enough: sizes, then the joint estimate, then the full sets."""
     side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -148,22 +148,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, pe
             yield pa.RecordBatch.from_arrays([t["a"].filter(pa.array(hold)), t["b"].filter(pa.array(hold))], ["a", "b"])
 
     near = written(near.mapInArrow(likely, "a long, b long"), "near-likely")
-    needed = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-
-    def sets(batches):
-        for b in batches:
-            got = [shingles(t, size).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["doc_id", "shingles"])
-
-    full = written(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, shingles binary"), "near-sets")
-    with_sets = near.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    with_sets = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def exact(batches):
         for b in batches:
             t = {k: b.column(b.schema.get_field_index(k)) for k in ("a", "b", "x", "y")}
             hold = []
             for x, y in zip(t["x"], t["y"], strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                x, y = (s.values.to_numpy() for s in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 hold.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(hold, pa.bool_())
@@ -172,18 +164,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, pe
     return written(with_sets.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "near-links")
 
 
-def _differences(docs: DataFrame, groups: DataFrame, size: int) -> DataFrame:
-    """(group, doc_id, n, d): for every document of ``groups`` (doc_id, group) its set's size and what is in its set or in the group's majority set, but not in both."""
+def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles): the full sets of the ``needed`` documents, so that all texts are dealt out at most once."""
 
-    def sets(batches):
+    def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                got = [shingles(t, size).view(np.int64) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.list_(pa.int64()))], ["group", "doc_id", "shingles"])
+                got = [shingles(t, size).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    needed = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    return written(needed.mapInArrow(run, "doc_id long, shingles array<long>"), "near-sets")
 
-    full = docs.join(groups, "doc_id").dropDuplicates(["doc_id"]).select("group", "doc_id", "text")
-    full = written(full.mapInArrow(sets, "group long, doc_id long, shingles array<long>"), "near-group-sets")
+
+def _differences(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, doc_id, n, d): for every document of ``groups`` (doc_id, group) its set's size and what is in its set or in the group's majority set, but not in both."""
+    full = written(sets.join(groups, "doc_id"), "near-group-sets")
     members = full.groupBy("group").agg(F.count("*").alias("members"))
     counts = full.select("group", F.explode("shingles").alias("shingle")).groupBy("group", "shingle").agg(F.count("*").alias("has")).filter("has > 1")
     # over half of the members have each: a majority set is no larger than twice the mean set
@@ -195,19 +192,19 @@ def _differences(docs: DataFrame, groups: DataFrame, size: int) -> DataFrame:
                 part = b.slice(at, 256)
                 t = {k: part.column(part.schema.get_field_index(k)) for k in ("group", "doc_id", "shingles", "center")}
                 own = [x.values.to_numpy() for x in t["shingles"]]
-                d = [np.setxor1d(x, c.values.to_numpy()) if c.is_valid else x for x, c in zip(own, t["center"], strict=True)]
+                d = [np.setxor1d(x, c.values.to_numpy(), assume_unique=True) if c.is_valid else x for x, c in zip(own, t["center"], strict=True)]
                 yield pa.RecordBatch.from_arrays([t["group"], t["doc_id"], pa.array([len(x) for x in own], pa.int64()), pa.array(d, pa.list_(pa.int64()))], ["group", "doc_id", "n", "d"])
 
     return written(full.join(centers, "group", "left").mapInArrow(less, "group long, doc_id long, n long, d array<long>"), "near-differences")
 
 
-def _by_difference(buckets: DataFrame, links: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _by_difference(buckets: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of large ``buckets`` (key, doc_id, center): links that are certain, and candidate pairs, both (a, b).
 
     Slack is kept in whole numbers, as (100 + percent) |D| - (100 - percent) n.
     """
     groups = components(buckets.filter("doc_id != center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")))
-    found = _differences(docs, groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), size)
+    found = _differences(sets, groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group")))
     found = found.withColumns({"n_d": F.size("d"), "slack": (100 + percent) * F.size("d") - (100 - percent) * F.col("n")})
     low = found.groupBy("group").agg(F.min(F.struct("slack", "doc_id")).alias("low"))
     found = found.join(low, "group")
@@ -253,7 +250,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = members.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
     members = written(members.join(shared, "key"), "near-members")
     pairs = members.filter("doc_id != center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verified(pairs, docs, nodes, size, percent)
+    sets = _sets(docs, members.select("doc_id").distinct(), size)
+    links = _verified(pairs, sets, nodes, percent)
 
     labels = components(links)
     of = members.join(labels, members["doc_id"] == labels["id"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -263,9 +261,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     x, y = small.alias("x"), small.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")))
     cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    certain, others = _by_difference(large.select("key", "doc_id", "center"), links, docs, size, percent)
+    certain, others = _by_difference(large.select("key", "doc_id", "center"), links, sets, percent)
     cross = cross.unionByName(others).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = certain.unionByName(_verified(written(cross, "near-cross"), docs, nodes, size, percent))
+    more = certain.unionByName(_verified(written(cross, "near-cross"), sets, nodes, percent))
 
     same = some.join(classes, ["n", "d1", "d2"]).filter("doc_id != class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.unionByName(more).unionByName(same))
