@@ -42,6 +42,10 @@ TOP = (1 << 15) - 1
 SLACK = 0.25
 #: Members of different components meet each other in buckets of up to this many; larger ones go by differences.
 SMALL = 8
+#: A group of more members than this is dealt out in pieces of about this many, so that no join has it in one task.
+PIECE = 1024
+#: What only large groups have is laid out this many times while members learn how many pieces their group has.
+DEALS = 256
 _MULTIPLY = (np.random.default_rng(20240229).integers(1, 1 << 63, REGISTERS, np.uint64) << np.uint64(1)) | np.uint64(1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
@@ -178,24 +182,40 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     return written(needed.mapInArrow(run, "doc_id long, shingles array<long>"), "near-sets")
 
 
-def _differences(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(group, doc_id, n, d): for every document of ``groups`` (doc_id, group) its set's size and what is in its set or in the group's majority set, but not in both."""
-    full = written(sets.join(groups, "doc_id"), "near-group-sets")
-    members = full.groupBy("group").agg(F.count("*").alias("members"))
+def _pieces(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, group, piece) for every document of ``groups`` (doc_id, group), and (group, members, pieces) for every group."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
+    sizes = written(sizes.withColumn("pieces", F.ceil(F.col("members") / PIECE)), "near-group-sizes")
+    large = sizes.filter("pieces > 1").select("group", "pieces", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
+    dealt = groups.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(DEALS)).cast("int")).join(large, ["group", "deal"], "left")
+    piece = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.coalesce("pieces", F.lit(1)))
+    return dealt.select("doc_id", "group", piece.alias("piece")), sizes
+
+
+def _per_piece(of_groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row of ``of_groups`` (group, ...) for every piece of its group."""
+    return of_groups.join(sizes.select("group", "pieces"), "group").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
+
+
+def _differences(sets: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(group, piece, doc_id, n, d): for every document of ``groups`` (doc_id, group) its set's size and what is in its set or in the group's majority set, but not in both; and the groups' sizes."""
+    dealt, sizes = _pieces(groups)
+    full = written(sets.join(dealt, "doc_id"), "near-group-sets")
     counts = full.select("group", F.explode("shingles").alias("shingle")).groupBy("group", "shingle").agg(F.count("*").alias("has")).filter("has > 1")
     # over half of the members have each: a majority set is no larger than twice the mean set
-    centers = counts.join(members, "group").filter("2 * has > members").groupBy("group").agg(F.collect_list("shingle").alias("center"))
+    centers = counts.join(sizes, "group").filter("2 * has > members").groupBy("group").agg(F.collect_list("shingle").alias("center"))
 
     def less(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                t = {k: part.column(part.schema.get_field_index(k)) for k in ("group", "doc_id", "shingles", "center")}
+                t = {k: part.column(part.schema.get_field_index(k)) for k in ("group", "piece", "doc_id", "shingles", "center")}
                 own = [x.values.to_numpy() for x in t["shingles"]]
                 d = [np.setxor1d(x, c.values.to_numpy(), assume_unique=True) if c.is_valid else x for x, c in zip(own, t["center"], strict=True)]
-                yield pa.RecordBatch.from_arrays([t["group"], t["doc_id"], pa.array([len(x) for x in own], pa.int64()), pa.array(d, pa.list_(pa.int64()))], ["group", "doc_id", "n", "d"])
+                yield pa.RecordBatch.from_arrays([t["group"], t["piece"], t["doc_id"], pa.array([len(x) for x in own], pa.int64()), pa.array(d, pa.list_(pa.int64()))], ["group", "piece", "doc_id", "n", "d"])
 
-    return written(full.join(centers, "group", "left").mapInArrow(less, "group long, doc_id long, n long, d array<long>"), "near-differences")
+    found = full.join(_per_piece(centers, sizes), ["group", "piece"], "left").mapInArrow(less, "group long, piece long, doc_id long, n long, d array<long>")
+    return written(found, "near-differences"), sizes
 
 
 def _by_difference(buckets: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -204,10 +224,10 @@ def _by_difference(buckets: DataFrame, links: DataFrame, sets: DataFrame, percen
     Slack is kept in whole numbers, as (100 + percent) |D| - (100 - percent) n.
     """
     groups = components(buckets.filter("doc_id != center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")))
-    found = _differences(sets, groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group")))
+    found, sizes = _differences(sets, groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group")))
     found = found.withColumns({"n_d": F.size("d"), "slack": (100 + percent) * F.size("d") - (100 - percent) * F.col("n")})
     low = found.groupBy("group").agg(F.min(F.struct("slack", "doc_id")).alias("low"))
-    found = found.join(low, "group")
+    found = found.join(_per_piece(low, sizes), ["group", "piece"])
     certain = written(found.filter("slack + low.slack <= 0 AND doc_id != low.doc_id").select(F.col("low.doc_id").alias("a"), F.col("doc_id").alias("b")), "near-certain")
     labels = components(links.unionByName(certain))
 

@@ -147,10 +147,11 @@ def components_by_force(docs, size, percent):
     return of
 
 
-@pytest.mark.parametrize("small", [0, 3, 1000])
-def test_near_duplicates_of_a_large_loose_group_equal_brute_force(spark, monkeypatch, small):
-    """Members of one group, less and more alike than the threshold: by differences (large buckets) as by pairs (small ones)."""
+@pytest.mark.parametrize(("small", "piece"), [(0, 1024), (0, 16), (3, 16), (1000, 1024)])
+def test_near_duplicates_of_a_large_loose_group_equal_brute_force(spark, monkeypatch, small, piece):
+    """Members of one group, less and more alike than the threshold: by differences (large buckets, whole or in pieces) as by pairs (small ones)."""
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "PIECE", piece)
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(120)]
     made = []
