@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import returning_memory, written
 from .components import components
 
 BANDS, ROWS = 24, 5
@@ -42,6 +42,8 @@ TOP = (1 << 15) - 1
 SLACK = 0.25
 #: Members of different components meet each other in buckets of up to this many; larger ones go by differences.
 SMALL = 8
+#: Hashes of words that a Python worker keeps, for the length of a task.
+MOST_WORDS = 200_000
 #: A group of more members than this is dealt out in pieces of about this many, so that no join has it in one task.
 PIECE = 1024
 #: What only large groups have is laid out this many times while members learn how many pieces their group has.
@@ -52,7 +54,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 700_000:
+        if len(self) >= MOST_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -132,8 +134,9 @@ def sketched(docs: DataFrame, size: int = 3) -> DataFrame:
                     sketches.append(None if sketch is None else sketch.tobytes())
                     keys.append([] if sketch is None else band_keys(sketch))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 512], pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "sketch", "keys"])
+        _words().clear()
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, keys array<long>")
+    return docs.mapInArrow(returning_memory(run), "doc_id long, n long, d1 long, d2 long, sketch binary, keys array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -151,7 +154,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int)
             hold = estimate(x, y, *(t[k].to_numpy(zero_copy_only=False).astype(float) for k in ("n_a", "n_b"))) >= percent / 100 - SLACK
             yield pa.RecordBatch.from_arrays([t["a"].filter(pa.array(hold)), t["b"].filter(pa.array(hold))], ["a", "b"])
 
-    near = written(near.mapInArrow(likely, "a long, b long"), "near-likely")
+    near = written(near.mapInArrow(returning_memory(likely), "a long, b long"), "near-likely")
     with_sets = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def exact(batches):
@@ -165,7 +168,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int)
             keep = pa.array(hold, pa.bool_())
             yield pa.RecordBatch.from_arrays([t["a"].filter(keep), t["b"].filter(keep)], ["a", "b"])
 
-    return written(with_sets.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "near-links")
+    return written(with_sets.select("a", "b", "x", "y").mapInArrow(returning_memory(exact), "a long, b long"), "near-links")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
@@ -177,9 +180,10 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
                 part = b.slice(at, 256)
                 got = [shingles(t, size).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+        _words().clear()
 
     needed = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
-    return written(needed.mapInArrow(run, "doc_id long, shingles array<long>"), "near-sets")
+    return written(needed.mapInArrow(returning_memory(run), "doc_id long, shingles array<long>"), "near-sets")
 
 
 def _pieces(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,7 +218,7 @@ def _differences(sets: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFra
                 d = [np.setxor1d(x, c.values.to_numpy(), assume_unique=True) if c.is_valid else x for x, c in zip(own, t["center"], strict=True)]
                 yield pa.RecordBatch.from_arrays([t["group"], t["piece"], t["doc_id"], pa.array([len(x) for x in own], pa.int64()), pa.array(d, pa.list_(pa.int64()))], ["group", "piece", "doc_id", "n", "d"])
 
-    found = full.join(_per_piece(centers, sizes), ["group", "piece"], "left").mapInArrow(less, "group long, piece long, doc_id long, n long, d array<long>")
+    found = full.join(_per_piece(centers, sizes), ["group", "piece"], "left").mapInArrow(returning_memory(less), "group long, piece long, doc_id long, n long, d array<long>")
     return written(found, "near-differences"), sizes
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import returning_memory, written
 from .tokens import default_path, ids_of
 
 BUCKET_ROWS = 4096
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, max_len: int = 2048, tokenizer_path: str | None = No
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + keep_ids])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(returning_memory(cut), schema)
 
 
 def patterns(histogram: dict[int, int], max_len: int) -> list[tuple[list[int], int]]:

@@ -16,10 +16,8 @@ _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 MOST_CACHED = 300_000
 
 
-def _ranks(path: str) -> dict[bytes, int] | None:
-    """The file's vocabulary as bytes and ranks, if it is byte-level BPE whose ids follow the order of its merges."""
-    with open(path, encoding="utf-8") as f:
-        told = json.load(f)
+def _ranks(told: dict) -> dict[bytes, int] | None:
+    """A tokenizer file's vocabulary as bytes and ranks, if it is byte-level BPE whose ids follow the order of its merges."""
     model = told["model"]
     if model.get("type") != "BPE" or told.get("normalizer") or told["pre_tokenizer"].get("type") != "ByteLevel" or told["pre_tokenizer"].get("add_prefix_space"):
         return None
@@ -38,18 +36,25 @@ class Ids(dict):
     """many(texts) -> little-endian uint32 ids of each whole text, equal to the tokenizer's; a dict of the pieces met so far."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.special = [t["content"] for t in told["added_tokens"]]
         self.encode = self._encode
-        if ranks := _ranks(path):
+        if ranks := _ranks(told):
             import tiktoken
 
             # the same merges, several times as fast on single words
             self.encode = tiktoken.Encoding("pieces", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Read only where the merges alone don't do: its vocabulary is large."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
