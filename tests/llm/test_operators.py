@@ -278,6 +278,31 @@ def test_attention_windows_equal_one_pass():
         assert abs(got[i] - want) < 1e-4
 
 
+def test_lm_learns_from_documents_outside_the_draw(spark):
+    """Corpora of equal word counts, none of it drawn: only what all training documents teach of their order tells them apart."""
+    rng = np.random.default_rng(6)
+    cycle = "red orange yellow green blue black white brown".split()
+    ordered = [(i, " ".join(cycle[(i + k) % 8] for k in range(160))) for i in range(200)]
+    mixed = [(i, " ".join(rng.permutation(t.split())) if zlib.crc32(str(i).encode()) % 5 != 1 else t) for i, t in ordered]
+    held = []
+    for rows in (ordered, mixed):
+        got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), sample=0).filter("held_out")
+        held.append({r["doc_id"]: r["score"] for r in got.collect()})
+    assert held[0].keys() == held[1].keys() and all(held[0][i] > held[1][i] for i in held[0])
+
+
+def test_lm_left_neighbours_of_all_training_documents(spark, docs):
+    rows = spark.createDataFrame([(i, i % 3 == 0, t) for i, t, _, _ in docs[:60]], "doc_id long, held_out boolean, text string").repartition(5)
+    got = lm.counted_left(lm.blocks(rows, tokens.default_path(), 50256).filter("blob IS NOT NULL").select("block", "size", "blob"), 50256)
+    want = np.zeros((50257, 64))
+    for i, t, _, _ in docs[:60]:
+        if i % 3:
+            ids = lm.subwords([*(t or "").encode().lower().split(), b" "], tokens.default_path(), 50256)[0].astype(np.int64)
+            for before, one in zip([50256, *ids[:-1]], ids, strict=True):
+                want[one, (int(before) * 2654435761 >> 7) % 64] += 1
+    assert (got == want).all()
+
+
 def test_chat_round_trip(spark):
     said = "\\### Assistant: </turn> ok"
     rows = [(1, 0, "system", "a\\"), (1, 1, "user", said), (1, 2, "assistant", said + "\n"), (2, 0, "tool ### x", None), (2, 0, None, "</turn></turn>"), (None, None, "user", "hi"), (3, 1, "assistant", "first"), (3, 5, "user", "second")]
