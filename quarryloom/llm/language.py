@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold, uniform
 
@@ -146,28 +147,37 @@ def identify(docs: DataFrame, folds: int = 5, per_language: int = 500) -> DataFr
     null text, or one without a letter, is ``und`` with score 0, and so is every
     text if nothing could be learned. Only the text decides a prediction.
     """
-    spark = docs.sparkSession
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     held_out = fold(F.col("doc_id"), folds) == 0
-    model = spark.sparkContext.broadcast(train(cols, ~held_out, per_language))
+    model = train(cols, ~held_out, per_language)
+    return predicted(cols.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text", "lettered")
+
+
+def predicted(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """All columns of ``docs``, each row with lang_pred and score of its own text, and whether that has a letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at_text, names = docs.columns.index("text"), [*docs.columns, "lang_pred", "score", "lettered"]
 
     def predict(batches):
-        m = model.value
+        m = shared.value
         for b in batches:
-            texts = b.column(2).to_pylist()
+            texts = b.column(at_text).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            rows = [i for i, t in enumerate(texts) if m and t and LETTER.search(t)]
+            lettered = [bool(t and LETTER.search(t)) for t in texts]
+            rows = [i for i, has in enumerate(lettered) if m and has]
             for at in range(0, len(rows), 256):
                 part = rows[at : at + 256]
                 got, sure = m.predict(np.stack([profile(texts[i]) for i in part]))
                 for i, lang, s in zip(part, got, sure, strict=True):
                     langs[i], scores[i] = lang, s
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(lettered, pa.bool_())], names)
 
-    return cols.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lettered", T.BooleanType())])
+    return docs.mapInArrow(predict, schema)
 
 
 def documents_in_a_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has letters; ids that repeat are judged by text, row by row."""
-    rejected = identify(docs).filter(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti")
+    """The rows of ``docs`` whose text has letters, each judged by its own text, also where no language could be learned."""
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    model = train(cols, fold(F.col("doc_id"), 5) != 0)
+    return predicted(docs, model).filter((F.col("lang_pred") != UNKNOWN) | F.col("lettered")).select(*docs.columns)

@@ -98,6 +98,15 @@ def test_language_of_nothing(odd):
     assert got[1] == got[2] == got[4] == "und" and got[8] != "und"
 
 
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_documents_in_a_language_row_by_row(spark, lang):
+    rows = [(None, "words under a null id"), (None, "12 !!"), (None, None), (4, "words under a repeated id"), (4, "34"), (6, "more words")]
+    docs = spark.createDataFrame([(i, t, lang, "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = language.documents_in_a_language(docs)
+    assert got.columns == docs.columns
+    assert sorted(r["text"] for r in got.collect()) == ["more words", "words under a null id", "words under a repeated id"]
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
