@@ -1,7 +1,9 @@
-"""Scalar functions as column expressions; none leaves the JVM."""
+"""Scalar functions as column expressions; only byte_entropy leaves the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,25 @@ def entropy(codes: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.aggregate(runs, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
 
 
+def byte_entropy(content: Column) -> Column:
+    """Shannon entropy of all bytes, bits; 0 if empty, null of null. One counting pass."""
+
+    @F.arrow_udf("double")
+    def of(column: pa.Array) -> pa.Array:
+        out = []
+        for value in column:
+            raw = value.as_buffer()
+            if raw is None:
+                out.append(None)
+                continue
+            n = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+            p = n[n > 0] / max(1, n.sum())
+            out.append(float(abs(-(p * np.log2(p)).sum())))
+        return pa.array(out, pa.float64())
+
+    return of(content)
+
+
 def is_binary_content(content: Column) -> Column:
     """Empty: no. A Unicode byte order mark: no. Then: any NUL, over 5 % control bytes, or over 7.5 bits of entropy in the first 8192 bytes."""
     head = F.hex(F.substring(content, 1, 4))

@@ -237,11 +237,17 @@ def replacement_ratio(spark, sf_dir):
 
 @query("SELECT doc_id, round(-sum(p * log2(p)), 6) AS bits FROM (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(substring(text, 1, 400), '')) AS ch FROM documents) GROUP BY 1, 2)) GROUP BY 1")
 def entropy_chars(spark, sf_dir):
-    """Entropy of the first 400 characters, as the binary test samples a head."""
+    """Entropy of the first 400 characters only, as its SQL has it; :func:`entropy_bytes` takes whole texts."""
     codes = F.transform(F.regexp_extract_all(F.substring("text", 1, 400), F.lit("(?s)."), 0), lambda c: F.ascii(c))
     return table(spark, sf_dir, "documents").select("doc_id", F.round(S.entropy(codes), 6).alias("bits"))
 
 
+@query()
+def entropy_bytes(spark, sf_dir):
+    """Entropy of all bytes of the whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.byte_entropy(F.encode("text", "UTF-8")), 6).alias("bits"))
+
+
 BYTES = [("empty", "", False), ("bom", "FFFE4100", False), ("nul", "410042", True), ("text", "48656C6C6F20776F726C64", False), ("control", "0102034142", True), ("few", "01" + "41" * 19, False), ("random", "".join(f"{(i * 167 + 13) % 255 + 1:02X}" for i in range(2048)), True)]
 
 
