@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import language_of
+from ..functions.tables import BUILTIN_CALLS
 
 COLUMNS = ["kind", "name", "label", "owner", "line", "end_line", "detail", "extra"]
 SCHEMA = "path string, language string, seq long, kind string, name string, label string, owner string, line long, end_line long, detail string, extra string"
@@ -160,7 +161,7 @@ def python_rows(content: str) -> list[tuple]:
 
 
 def extracted(sources: DataFrame) -> DataFrame:
-    """Rows of every source (path, content), with the file's language and order; a language without a parser gives one ``skipped`` row."""
+    """Rows of every source (path, content), with the file's language and order; a language without a parser gives one ``skipped`` row. Calls of built-in names are left out."""
     languages = dict(LANGUAGES)
 
     def run(batches):
@@ -178,7 +179,14 @@ def extracted(sources: DataFrame) -> DataFrame:
 
     names = ["path", "language", "seq", *COLUMNS]
     arrow = pa.schema([(n, pa.int64() if n in ("seq", "line", "end_line") else pa.string()) for n in names])
-    return sources.select("path", "content", language_of(F.col("path"), F.col("content")).alias("language")).mapInArrow(run, SCHEMA)
+    rows = sources.select("path", "content", language_of(F.col("path"), F.col("content")).alias("language")).mapInArrow(run, SCHEMA)
+    return without_builtins(rows)
+
+
+def without_builtins(rows: DataFrame) -> DataFrame:
+    """Extracted rows but the calls of built-in names."""
+    names = rows.sparkSession.createDataFrame([(n,) for n in sorted(BUILTIN_CALLS)], "_builtin string")
+    return rows.join(F.broadcast(names), (rows["kind"] == "call") & (rows["name"] == names["_builtin"]), "left_anti")
 
 
 def symbols(rows: DataFrame) -> DataFrame:

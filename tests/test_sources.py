@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from quarryloom.functions import tables
 from quarryloom.operators import graph, search
 from quarryloom.sources import extract, files, store
 from quarryloom.streaming import changes
@@ -67,3 +68,11 @@ def test_stream_applies_each_file_once(spark, tmp_path):
     for _ in range(2):
         changes.on_changes(stream, lambda b, n: seen.extend(r["v"] for r in b.collect()), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == ["a", "b"]
+
+
+def test_calls_of_built_in_names_are_left_out(spark):
+    code = "def print():\n    pass\n\ndef f(x):\n    print(len(x))\n    Print(x)\n    return build(x)\n"
+    found = extract.extracted(spark.createDataFrame([("a.py", code)], "path string, content string"))
+    assert sorted(r["name"] for r in found.filter("kind = 'call'").collect()) == ["Print", "build"]
+    assert sorted(r["name"] for r in found.filter("kind = 'definition'").collect()) == ["f", "print"]
+    assert len(tables.BUILTIN_CALLS) == 336
