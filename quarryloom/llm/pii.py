@@ -6,8 +6,8 @@ validator can judge (octets, checksum, digit count, character mix) give the
 labels. All candidates of all documents are counted by feature vector, a table
 whose size the features' ranges bound; boosted trees are fitted to that table, and
 become one SQL expression that scores every candidate. A threshold per kind
-is calibrated on a held-out fold of documents. Candidates of the further kinds above it are added to the base
-spans, unless they overlap one.
+is calibrated on a held-out fold of documents. Candidates of the further kinds above it that their
+validator doesn't refute are added to the base spans, unless they overlap one.
 
 Positions: a text split at a pattern's matches gives the lengths between them.
 Patterns are written possessively and start where a run starts, or where the last
@@ -35,7 +35,7 @@ MORE = {
     "phone_plain": r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "national_id": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[^\s]{6,200})",
+    "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[^\s]{6,}+)",
 }
 KINDS = [*BASE, *MORE]
 #: Cheap tests that a text with a match always passes.
@@ -188,11 +188,10 @@ def fit(cands: DataFrame, precision: float = 0.95) -> tuple[Boosted | None, dict
         on = (x[:, 0] == k) & (held == 1)
         on = on if w[on].sum() >= 20 else x[:, 0] == k  # too few are held out to judge by
         limits[kind] = 2.0
-        for cut in sorted(set(p[on].round(6)), reverse=True):
+        for cut in sorted(set(p[on].round(6)), reverse=True):  # the last that meets it is the lowest
             above = on & (p >= cut - 1e-6)
-            if w[above] @ y[above] < precision * w[above].sum():
-                break
-            limits[kind] = float(cut - 1e-6)
+            if w[above] @ y[above] >= precision * w[above].sum():
+                limits[kind] = float(cut - 1e-6)
     return model, limits
 
 
@@ -216,7 +215,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         p = model.expression([sum((F.when(s["kind"] == k, i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0)), *(s[f] for f in FEATURES)])
         enough = sum((F.when(s["kind"] == k, F.lit(limits[k])).otherwise(0.0) for k in KINDS), F.lit(0.0))
         apart = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.when(s["kind"].isin(list(BASE)), s["valid"]).otherwise((p >= enough) & apart)  # what a base kind's validator refutes stays out
+        return F.when(s["kind"].isin(list(BASE)), s["valid"]).otherwise(s["valid"] & (p >= enough) & apart)  # what a kind's validator refutes stays out
 
     if model:
         cands = cands.withColumn("spans", F.when(F.size("spans") > 0, F.filter("spans", added)).otherwise(F.col("spans")))

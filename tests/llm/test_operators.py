@@ -244,6 +244,21 @@ def test_redaction(spark):
     assert got == {1: "😀 [email] and [ip]!", 2: "clean"}
 
 
+def test_threshold_is_the_lowest_cut_that_meets_the_precision(spark, monkeypatch):
+    """The highest scored cell is a thin invalid one; what lies below meets the precision."""
+    monkeypatch.setattr(pii.Boosted, "scores", lambda self, x: 0.9 - 0.1 * x[:, 1 + list(pii.FEATURES).index("digits")])
+    cells = [(0, False, 1), (1, True, 200), (2, False, 100)]
+    one = "named_struct('kind', 'iban', 'start', 0, 'end', 9, 'valid', {}, " + ", ".join(f"'{f}', " + ("{}" if f == "digits" else "0") for f in pii.FEATURES) + ")"
+    rows = [spark.range(n).selectExpr("0 AS fold", f"array({one.format(valid, digits)}) AS spans") for digits, valid, n in cells]
+    assert abs(pii.fit(rows[0].union(rows[1]).union(rows[2]))[1]["iban"] - 0.8) < 1e-5
+
+
+def test_whole_secret_is_found(spark):
+    rows = [(i, f"say password={'a1b2' * 100} end") for i in range(40)]
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["spans"] for r in got} == {"secret:4:413"}
+
+
 def test_boosted_trees_learn_a_conjunction():
     x = np.array([[a, b] for a in range(3) for b in range(3)])
     y = ((x[:, 0] > 0) & (x[:, 1] > 1)).astype(float)
