@@ -116,18 +116,18 @@ def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
     return LanguageModel(families, members, family_w, pairs)
 
 
-def train(docs: DataFrame, may_learn: Column, per_language: int = 500, max_languages: int = 64) -> LanguageModel | None:
-    """Fit on a sample: about ``per_language`` rows, drawn by the hash of their id, of each of the ``max_languages`` commonest labels.
+def train(docs: DataFrame, may_learn: Column, per_language: int = 500) -> LanguageModel | None:
+    """Fit on a sample: about ``per_language`` rows, drawn by the hash of their id, of each label.
 
-    None if no row has a label. At most about per_language * max_languages
-    profiles of 8 KB reach the driver.
+    None if no row has a label. At most about per_language profiles of 8 KB for
+    each label reach the driver.
     """
     labelled = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
+    if counts.isEmpty():
         return None
-    chance = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(per_language / r["count"])) for r in counts], F.lit(0.0))
-    sample = labelled.filter(uniform(F.col("doc_id"), F.lit("lang")) < chance).select("lang", "text")
+    chance = F.lit(per_language) / F.col("_n")
+    sample = labelled.join(F.broadcast(counts), "lang").filter(uniform(F.col("doc_id"), F.lit("lang")) < chance).select("lang", "text")
 
     def profiles(batches):
         for b in batches:

@@ -98,6 +98,12 @@ def test_language_of_nothing(odd):
     assert got[1] == got[2] == got[4] == "und" and got[8] != "und"
 
 
+def test_every_label_is_learned(spark):
+    rows = [(i, f"l{i % 66}", f"text {i} of {chr(97 + i % 26) * 9} {chr(97 + i % 25) * 9}") for i in range(132)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(True))
+    assert sorted(x for names in model.members for x in names) == sorted({r[1] for r in rows})
+
+
 @pytest.mark.parametrize("lang", [None, "en"])
 def test_documents_in_a_language_row_by_row(spark, lang):
     rows = [(None, "words under a null id"), (None, "12 !!"), (None, None), (4, "words under a repeated id"), (4, "34"), (6, "more words")]
