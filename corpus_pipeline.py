@@ -39,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack", pack)]
 
-#: Classifying, mixing and packing are beyond SQL; tests/llm/test_pipeline.py checks the rows against brute force.
+#: Classifying, mixing and packing are beyond SQL; test_pipeline_by_force in tests/llm/test_operators.py checks the first three stages on small rows.
 ORACLE_SQL = None
 
 
