@@ -13,7 +13,7 @@ from quarryloom.llm.common import documents, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, whose language nothing can tell, go."""
+    """Documents whose text is in no language that could be learned go: those without a letter."""
     return language.documents_in_a_language(docs)
 
 
@@ -39,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack", pack)]
 
-#: Classifying, mixing and packing are beyond SQL; test_pipeline_by_force in tests/llm/test_operators.py checks the first three stages on small rows.
+#: Classifying, mixing and packing are beyond SQL; test_pipeline_run in tests/llm/test_rows.py holds run() against plain Python, test_pipeline_by_force in tests/llm/test_operators.py the stages.
 ORACLE_SQL = None
 
 

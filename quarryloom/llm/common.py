@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +21,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, local runs) a temporary one
-    is made, once for the session.
+    Only where a local session leaves it unset (tests) a temporary one is made,
+    once for the session; a cluster has to name one, since its executors can't
+    read the driver's own folders.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         set_to = f"file://{tempfile.mkdtemp(prefix='quarryloom-')}"
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to.rstrip("/")
@@ -36,7 +42,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empty tables that :func:`written` gave and that nothing will read again, so that their disk is free at once."""
+    for t in tables:
+        t.sparkSession.range(0).write.mode("overwrite").parquet(t.written_at)
 
 
 def returning_memory(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -51,6 +65,37 @@ def returning_memory(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator]
     return whole
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and about ``size`` bytes of a text column (one row at least), so that long texts are few at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(sizes, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or as many underscores before it as make it a new column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def keyed(docs: DataFrame, name: str, what: str) -> DataFrame:
+    """``docs`` with a column ``name``, unique to each row: doc_id, if every row has its own.
+
+    Otherwise the rows are numbered and written, so that those that share an id,
+    or have none, stay apart.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    if ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 OR id IS NULL").isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), what)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

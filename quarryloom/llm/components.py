@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,6 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "cc-labels")
+    last = labels
     while True:
         of_b = labels.select(F.col("id").alias("b"), F.col("component").alias("near"))
         nearest = both.join(of_b, "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
@@ -24,6 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("id").alias("new"), F.col("component").alias("further"))
         new = new.join(jump, "new").select("id", F.least("new", "further").alias("new"), "component")
         new = written(new.select("id", F.col("new").alias("component"), (F.col("new") < F.col("component")).alias("moved")), "cc-labels")
-        labels = new.select("id", "component")
+        discard(last)
+        labels, last = new.select("id", "component"), new
         if new.filter("moved").isEmpty():
+            discard(both)
             return labels

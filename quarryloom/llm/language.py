@@ -8,16 +8,16 @@ SVMs. Language: a linear SVM for each pair of languages of the family, by votes.
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, uniform
+from .common import fold, fresh, returning_memory, slices, uniform
 
 DIM = 2048
 UNKNOWN = "und"
@@ -32,7 +32,8 @@ FAMILIES = {
     "uralic": ("fi", "et", "hu"),
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter, by Unicode's general category.
+LETTER = regex.compile(r"\p{L}")
 _STEP = 1 << 20
 
 
@@ -131,53 +132,65 @@ def train(docs: DataFrame, may_learn: Column, per_language: int = 500) -> Langua
 
     def profiles(batches):
         for b in batches:
-            rows = [(lang, profile(t).tobytes()) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "profile"])
+            for part in slices(b, 1, 256):
+                found = [profile(t).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["lang", "profile"])
 
-    got = sorted(sample.mapInArrow(profiles, "lang string, profile binary").collect())
+    got = sorted(sample.mapInArrow(returning_memory(profiles), "lang string, profile binary").collect())
     if not got:
         return None
     return fit(np.stack([np.frombuffer(bytes(r[1]), np.float32) for r in got]), [r[0] for r in got])
 
 
 def identify(docs: DataFrame, folds: int = 5, per_language: int = 500) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), one row per row of ``docs``.
+    """(doc_id, held_out, lang_pred, score), one row per row of ``docs`` (doc_id, text, lang; other columns are not read).
 
     Learns from rows with a label whose crc32(doc_id) mod ``folds`` is not 0. A
     null text, or one without a letter, is ``und`` with score 0, and so is every
-    text if nothing could be learned. Only the text decides a prediction.
+    text if nothing could be learned. Only the text decides a prediction, so rows
+    that share an id, or have none, get their own each. Texts of any length are read whole, in
+    blocks. Empty input gives an empty result.
     """
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     held_out = fold(F.col("doc_id"), folds) == 0
     model = train(cols, ~held_out, per_language)
-    return predicted(cols.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text", "lettered")
+    return predicted(cols.select("doc_id", held_out.alias("held_out"), "text"), model, "told").select("doc_id", "held_out", "told.lang_pred", "told.score")
 
 
-def predicted(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """All columns of ``docs``, each row with lang_pred and score of its own text, and whether that has a letter."""
+def predicted(docs: DataFrame, model: LanguageModel | None, name: str) -> DataFrame:
+    """All columns of ``docs``, and ``name``: a struct of lang_pred and score of the row's own text, and whether that has a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at_text, names = docs.columns.index("text"), [*docs.columns, "lang_pred", "score", "lettered"]
+    at_text, names = docs.columns.index("text"), [*docs.columns, name]
 
     def predict(batches):
         m = shared.value
         for b in batches:
-            texts = b.column(at_text).to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            lettered = [bool(t and LETTER.search(t)) for t in texts]
-            rows = [i for i, has in enumerate(lettered) if m and has]
-            for at in range(0, len(rows), 256):
-                part = rows[at : at + 256]
-                got, sure = m.predict(np.stack([profile(texts[i]) for i in part]))
-                for i, lang, s in zip(part, got, sure, strict=True):
-                    langs[i], scores[i] = lang, s
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(lettered, pa.bool_())], names)
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lettered", T.BooleanType())])
-    return docs.mapInArrow(predict, schema)
-
-
-def documents_in_a_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has letters, each judged by its own text, also where no language could be learned."""
+            for part in slices(b, at_text):
+                texts = part.column(at_text).to_pylist()
+                langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                lettered = [bool(t and LETTER.search(t)) for t in texts]
+                if rows := [i for i, has in enumerate(lettered) if m and has]:
+                    x = np.stack([profile(texts[i]) for i in rows])
+                    for i, lang, s in zip(rows, *m.predict(x), strict=True):
+                        langs[i], scores[i] = lang, s
+                told = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(lettered, pa.bool_())], ["lang_pred", "score", "lettered"])
+                yield pa.RecordBatch.from_arrays([*part.columns, told], names)
+
+    told = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lettered", T.BooleanType())])
+    return docs.mapInArrow(returning_memory(predict), T.StructType([*docs.schema.fields, T.StructField(name, told)]))
+
+
+def documents_in_a_language(docs: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose predicted language is wanted: any that could be learned, or one of ``languages``.
+
+    Each row is judged by its own text alone. A null text or one without a letter is in no language and goes.
+    Where nothing could be learned and no languages are named, every text with a letter
+    stays. All columns are kept, whatever their names. Empty input gives an empty result.
+    """
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(cols, fold(F.col("doc_id"), 5) != 0)
-    return predicted(docs, model).filter((F.col("lang_pred") != UNKNOWN) | F.col("lettered")).select(*docs.columns)
+    told = fresh(docs, "_told")
+    wanted = F.col(f"{told}.lang_pred").isin(languages) if languages else F.col(f"{told}.lang_pred") != UNKNOWN
+    if model is None and not languages:
+        wanted = F.col(f"{told}.lettered")
+    return predicted(docs, model, told).filter(wanted).select(*docs.columns)

@@ -5,11 +5,12 @@ the exponentially spaced, truncated minimum of the set's i-th hash:
 floor(1 - log_B(x)) with x the least of exponential values, clipped to
 [0, TOP]. Registers of a union are maxima, so sketches merge; two sets share a
 register with a chance of at least their similarity, so bands of registers
-meet as minhash does. With 24 bands of 5, a pair of similarity 0.85 is missed
-with a chance of 8e-7, one of 0.9 with 2e-9.
+meet as minhash does. With 24 bands of 5, a pair of similarity 0.85 shares no
+band, and is missed, with a chance of 8e-7, one of 0.8 with 7e-5, one of 0.9 with
+5e-10; in a group, only if the links of its other members don't join the two.
 
 Documents with equal sets are one class before anything is paired. In every
-bucket the members meet its smallest id only; verified links give components.
+bucket the members meet its smallest node only; verified links give components.
 Buckets whose members still lie in different components remain. In one of at
 most ``SMALL`` members these meet each other. Larger ones are joined to groups,
 and every member becomes its difference D from the group's majority set C (the
@@ -18,7 +19,7 @@ so with slack s = |D| - k |x|, k = (1 - J) / (1 + J), a pair is linked exactly i
 s(x) + s(y) <= 2 |Dx and Dy|. Pairs with s(x) + s(y) <= 0 are linked in any case,
 and all of them also to the member of least slack, so that a star stands for
 them; any other pair shares a difference, and one among the rarest of each
-(prefix filtering). No link is lost in either way.
+(prefix filtering). Of the pairs that share a band, no link is lost in either way.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import returning_memory, written
+from .common import discard, fresh, keyed, returning_memory, slices, written
 from .components import components
 
 BANDS, ROWS = 24, 5
@@ -118,14 +119,14 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketched(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, n, d1, d2, sketch, keys): set size, a 128-bit digest of the set, its registers and band keys."""
+    """(row, doc_id, n, d1, d2, sketch, keys) of ``docs`` (row, doc_id, text): set size, a 128-bit digest of the set, its registers and band keys."""
+    names = ["row", "doc_id", "n", "d1", "d2", "sketch", "keys"]
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), 512):
+            for part in slices(b, 2):
                 n, d1, d2, sketches, keys = [], [], [], [], []
-                for t in texts[at : at + 512]:
+                for t in part.column(2).to_pylist():
                     s = shingles(t, size)
                     n.append(len(s))
                     d1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
@@ -133,10 +134,10 @@ def sketched(docs: DataFrame, size: int = 3) -> DataFrame:
                     sketch = registers(s) if len(s) else None
                     sketches.append(None if sketch is None else sketch.tobytes())
                     keys.append([] if sketch is None else band_keys(sketch))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 512], pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names)
         _words().clear()
 
-    return docs.mapInArrow(returning_memory(run), "doc_id long, n long, d1 long, d2 long, sketch binary, keys array<long>")
+    return docs.select("row", "doc_id", "text").mapInArrow(returning_memory(run), "row long, doc_id long, n long, d1 long, d2 long, sketch binary, keys array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -155,20 +156,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int)
             yield pa.RecordBatch.from_arrays([t["a"].filter(pa.array(hold)), t["b"].filter(pa.array(hold))], ["a", "b"])
 
     near = written(near.mapInArrow(returning_memory(likely), "a long, b long"), "near-likely")
-    with_sets = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def exact(batches):
-        for b in batches:
-            t = {k: b.column(b.schema.get_field_index(k)) for k in ("a", "b", "x", "y")}
-            hold = []
-            for x, y in zip(t["x"], t["y"], strict=True):
-                x, y = (s.values.to_numpy() for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hold.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(hold, pa.bool_())
-            yield pa.RecordBatch.from_arrays([t["a"].filter(keep), t["b"].filter(keep)], ["a", "b"])
-
-    return written(with_sets.select("a", "b", "x", "y").mapInArrow(returning_memory(exact), "a long, b long"), "near-links")
+    side = lambda c, x: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(x))
+    both = F.size(F.array_intersect("x", "y"))  # row by row in the JVM: no batch of full sets in memory
+    alike = 100 * both >= percent * (F.size("x") + F.size("y") - both)
+    links = written(near.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(alike).select("a", "b"), "near-links")
+    discard(near)
+    return links
 
 
 def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
@@ -176,14 +169,12 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in slices(b, 1, 256):
                 got = [shingles(t, size).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "shingles"])
         _words().clear()
 
-    needed = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
-    return written(needed.mapInArrow(returning_memory(run), "doc_id long, shingles array<long>"), "near-sets")
+    return written(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(returning_memory(run), "doc_id long, shingles array<long>"), "near-sets")
 
 
 def _pieces(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -219,17 +210,19 @@ def _differences(sets: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFra
                 yield pa.RecordBatch.from_arrays([t["group"], t["piece"], t["doc_id"], pa.array([len(x) for x in own], pa.int64()), pa.array(d, pa.list_(pa.int64()))], ["group", "piece", "doc_id", "n", "d"])
 
     found = full.join(_per_piece(centers, sizes), ["group", "piece"], "left").mapInArrow(returning_memory(less), "group long, piece long, doc_id long, n long, d array<long>")
-    return written(found, "near-differences"), sizes
+    found = written(found, "near-differences")
+    discard(full)
+    return found, sizes
 
 
-def _by_difference(buckets: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of large ``buckets`` (key, doc_id, center): links that are certain, and candidate pairs, both (a, b).
+def _by_difference(buckets: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of large ``buckets`` (key, doc_id, center): links that are certain, and candidate pairs, both (a, b); and the table that the latter come from.
 
     Slack is kept in whole numbers, as (100 + percent) |D| - (100 - percent) n.
     """
     groups = components(buckets.filter("doc_id != center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")))
-    found, sizes = _differences(sets, groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group")))
-    found = found.withColumns({"n_d": F.size("d"), "slack": (100 + percent) * F.size("d") - (100 - percent) * F.col("n")})
+    differences, sizes = _differences(sets, groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group")))
+    found = differences.withColumns({"n_d": F.size("d"), "slack": (100 + percent) * F.size("d") - (100 - percent) * F.col("n")})
     low = found.groupBy("group").agg(F.min(F.struct("slack", "doc_id")).alias("low"))
     found = found.join(_per_piece(low, sizes), ["group", "piece"])
     certain = written(found.filter("slack + low.slack <= 0 AND doc_id != low.doc_id").select(F.col("low.doc_id").alias("a"), F.col("doc_id").alias("b")), "near-certain")
@@ -245,58 +238,83 @@ def _by_difference(buckets: DataFrame, links: DataFrame, sets: DataFrame, percen
     posts = each.join(shared, ["group", "e"]).withColumn("left", F.col("n_d") - at)
     posts = posts.filter(F.col("left") >= F.greatest(F.lit(1), F.ceil(of_least), F.ceil(of_size)))
     posts = posts.join(labels, posts["doc_id"] == labels["id"], "left").select("group", "e", "doc_id", "n", "slack", "left", F.coalesce("component", "doc_id").alias("component"))
-    posts = written(posts, "near-posts")
+    kept = posts = written(posts, "near-posts")
+    discard(differences)
     split = posts.groupBy("group", "e").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first < last").select("group", "e")
     posts = posts.join(split, ["group", "e"], "left_semi")
     x, y = posts.alias("x"), posts.alias("y")
     meet = (F.col("x.group") == F.col("y.group")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
     alike = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (2 * (100 + percent) * F.least("x.left", "y.left") >= F.col("x.slack") + F.col("y.slack"))
-    return certain, x.join(y, meet & alike).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    return certain, x.join(y, meet & alike).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")), kept
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs`` (doc_id, text).
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (row, doc_id, text), a written table: (row, doc_id, n, d1, d2) of every row, and for every distinct non-empty set (n, d1, d2) its component, the smallest id in that and the row which stays for it.
 
-    Sets of distinct shingles of ``size`` words are linked from a similarity of
-    ``percent`` hundredths on. component_id is the smallest id reachable by
-    links. A text without words is linked with nothing. Rows that share an id are
-    one document as to links. A null id is no one's neighbour: its component is
-    null, and it is kept.
+    Sets are nodes, named by the key of a row that has them, so that rows which
+    share an id, or have none, are apart.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(sketched(docs, size), "near-sketches")
-    some = sketches.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = written(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class")), "near-classes")
-    nodes = some.join(classes.select("d1", "d2", F.col("class").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    nodes = written(nodes.select("doc_id", "n", "sketch", "keys"), "near-nodes")
+    some = sketches.filter("n > 0")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = written(some.groupBy("n", "d1", "d2").agg(F.min("row").alias("class"), best.alias("best")), "near-classes")
+    nodes = some.join(classes.select(F.col("class").alias("row")), "row", "left_semi")
+    nodes = written(nodes.select(F.col("row").alias("doc_id"), "n", "sketch", "keys"), "near-nodes")
 
     members = nodes.select(F.explode("keys").alias("key"), "doc_id")
     shared = members.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
     members = written(members.join(shared, "key"), "near-members")
     pairs = members.filter("doc_id != center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sets = _sets(docs, members.select("doc_id").distinct(), size)
+    sets = _sets(docs.select(F.col("row").alias("doc_id"), "text"), members.select("doc_id").distinct(), size)
     links = _verified(pairs, sets, nodes, percent)
 
     labels = components(links)
     of = members.join(labels, members["doc_id"] == labels["id"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     split = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"), F.min("doc_id").alias("center")).filter("low < high").drop("low", "high")
-    of = written(of.join(split, "key"), "near-split")
+    split_members = of = written(of.join(split, "key"), "near-split")
     small, large = of.filter(F.col("rows") <= SMALL), of.filter(F.col("rows") > SMALL)
     x, y = small.alias("x"), small.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")))
     cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    certain, others = _by_difference(large.select("key", "doc_id", "center"), links, sets, percent)
+    certain, others, posts = _by_difference(large.select("key", "doc_id", "center"), links, sets, percent)
     cross = cross.unionByName(others).distinct().join(pairs, ["a", "b"], "left_anti")
     more = certain.unionByName(_verified(written(cross, "near-cross"), sets, nodes, percent))
 
-    same = some.join(classes, ["n", "d1", "d2"]).filter("doc_id != class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(links.unionByName(more).unionByName(same))
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("id"), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    labels = components(links.unionByName(more))
+    of = classes.join(labels, classes["class"] == labels["id"], "left").select("n", "d1", "d2", "best", F.coalesce("component", "class").alias("component"))
+    lows = of.groupBy("component").agg(F.min("best").alias("best"))
+    of = of.drop("best").join(lows, "component").select("n", "d1", "d2", "component", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("stays"))
+    of, rows = written(of, "near-components"), written(sketches.select("row", "doc_id", "n", "d1", "d2"), "near-rows")
+    discard(sketches, classes, nodes, members, sets, split_members, posts)
+    return rows, of
 
 
-def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without those that a smaller id nearly equals."""
-    gone = near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs`` (doc_id, text; other columns are not read).
+
+    Sets of distinct shingles of ``size`` words are linked from a similarity of
+    ``percent`` hundredths on. component_id is the smallest id reachable by
+    links, kept says whether that is the row's own. A null or empty text, or one without words, has 0
+    shingles and is linked with nothing. Rows that share an id, or have none, are
+    separate documents, each linked by its own text; a null id is larger than any other, so
+    that component_id is null only where no row reachable has an id. Texts of any length are read
+    whole. Empty input gives an empty result.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, of = _classes(keyed(docs, "row", "near-documents"), size, percent)
+    found = rows.filter("n > 0").join(of.select("n", "d1", "d2", "component_id"), ["n", "d1", "d2"])
+    found = found.select("doc_id", "n", "component_id").unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest id (a null id last), and every row without words.
+
+    Rows are judged one by one, by their own texts: those that share an id, or
+    have none, are separate documents. Other columns are kept as they are, whatever their names.
+    """
+    row = fresh(docs, "_row")
+    docs = keyed(docs, row, "near-documents")
+    rows, of = _classes(docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size, percent)
+    stays = of.select(F.col("stays").alias(row)).distinct().unionByName(rows.filter("n = 0").select(F.col("row").alias(row)))
+    return docs.join(stays, row, "left_semi").drop(row)

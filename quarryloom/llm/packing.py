@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import returning_memory, written
+from .common import returning_memory, slices, written
 from .tokens import default_path, ids_of
 
 BUCKET_ROWS = 4096
@@ -33,10 +33,9 @@ def pieces(docs: DataFrame, max_len: int = 2048, tokenizer_path: str | None = No
     def cut(batches):
         ids = ids_of(path)
         for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(texts), 512):
+            for part in slices(b, 1):
                 rows = [[] for _ in range(5 + keep_ids)]
-                for doc_id, got in zip(doc_ids[at : at + 512], ids.many([t or "" for t in texts[at : at + 512]]), strict=True):
+                for doc_id, got in zip(part.column(0).to_pylist(), ids.many([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     got = memoryview(got + end)
                     n = len(got) // 4
                     for start in range(0, n, max_len):
@@ -134,7 +133,8 @@ def pack_documents(docs: DataFrame, max_len: int = 2048, tokenizer_path: str | N
     """One row per piece of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Reads doc_id and text alone. A null or empty text is its end id. Repeated ids
-    are packed as often as they stand there.
+    are packed as often as they stand there. Texts of any length are read whole, one at a time. Empty input
+    gives an empty result.
     """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return pack(pieces(docs, max_len, tokenizer_path, end_id), max_len).select(*names)
