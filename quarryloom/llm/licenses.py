@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Phrases whose places are reported, and their labels.
 BASE_PHRASES = {
     "under the mit license": "mit",
@@ -79,39 +81,37 @@ def tokens(text: str, at: int) -> list[str]:
 
 
 def parse(found: list[str]) -> list[str] | None:
-    """Reverse Polish notation by shunting-yard; None if it isn't an expression. Operators come out in lower case."""
+    """Reverse Polish notation, by one shunting-yard pass, of the longest start of ``found`` that is an expression; None if none is. Operators come out in lower case."""
     out: list[str] = []
     stack: list[str] = []
+    depth, whole = 0, None  # open parentheses; output and operators where an expression was last complete
     wants = True  # an operand
     for t in found:
         op = t.lower()
+        if wants != (op not in PRECEDENCE and t != ")"):
+            break
         if op in PRECEDENCE:
-            if wants:
-                return None
             while stack and stack[-1] != "(" and PRECEDENCE[stack[-1]] >= PRECEDENCE[op]:
                 out.append(stack.pop())
             stack.append(op)
             wants = True
         elif t == "(":
-            if not wants:
-                return None
             stack.append(t)
-        elif t == ")":
-            if wants:
-                return None
-            while stack and stack[-1] != "(":
-                out.append(stack.pop())
-            if not stack:
-                return None
-            stack.pop()
+            depth += 1
         else:
-            if not wants:
-                return None
-            out.append(t)
+            if t == ")":
+                if not depth:
+                    break
+                while stack[-1] != "(":
+                    out.append(stack.pop())
+                stack.pop()
+                depth -= 1
+            else:
+                out.append(t)
             wants = False
-    if wants or "(" in stack:
-        return None
-    return out + stack[::-1]
+            if not depth:
+                whole = len(out), stack[::-1]  # at most an operator of each precedence
+    return whole and out[: whole[0]] + whole[1]
 
 
 def evaluate(rpn: list[str]) -> tuple[set[str], float]:
@@ -128,13 +128,9 @@ def evaluate(rpn: list[str]) -> tuple[set[str], float]:
 
 
 def expression_at(text: str, at: int) -> tuple[set[str], float] | None:
-    """The expression at ``at``, as far as one can be read: trailing words that break it are left."""
-    found = tokens(text, at)
-    while found:
-        if rpn := parse(found):
-            return evaluate(rpn)
-        found.pop()
-    return None
+    """The expression at ``at``, as far as one can be read: trailing words that break it are left. Time is linear in what is read."""
+    rpn = parse(tokens(text, at))
+    return evaluate(rpn) if rpn else None
 
 
 @functools.cache
@@ -185,14 +181,15 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Labels are distinct, sorted and comma-joined, empty where there are none.
     ``score`` is the chance that at least one find is right, 0 without finds;
     ``freedom`` is that of the strictest licence expression, null without one.
-    Null text is empty.
+    Null text is empty. Texts of any length are read whole, in time that grows with their length.
+    Every row is judged by its own text, so rows that share an id, or have none, get their own each.
+    Empty input gives an empty result; other columns than doc_id and text are not read.
     """
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), 1024):
-                rows = [(i, *scan(t or "")) for i, t in zip(ids[at : at + 1024], texts[at : at + 1024], strict=True)]
+            for part in slices(b, 1, 1024):
+                rows = [(i, *scan(t or "")) for i, t in zip(*(c.to_pylist() for c in part.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, freedom double")
