@@ -1,9 +1,11 @@
 """Personal data by candidate gradient boosting [native].
 
-High-recall patterns propose spans, which may overlap. A candidate's format and
-its neighbourhood become small whole-number features. Candidates that a
-validator can judge (octets, checksum, digit count, character mix) give the
-labels. All candidates of all documents are counted by feature vector, a table
+High-recall patterns propose spans, which may overlap. A candidate's kind, format and
+neighbourhood become small whole-number features. Validators give the labels:
+checksums (Luhn, mod 97), ranges (octets, areas, lengths); near-misses that they
+refute are the negatives. A feature from which a kind's own rule could be read off
+is blank for that kind, so that what the trees learn is what else valid spans have
+in common. All candidates of all documents are counted by feature vector, a table
 whose size the features' ranges bound; boosted trees are fitted to that table, and
 become one SQL expression that scores every candidate. A threshold per kind
 is calibrated on a held-out fold of documents. Candidates of the further kinds above it that their
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, written
+from .common import fold, fresh, written
 
 #: The base kinds in their order, and their patterns.
 BASE = {
@@ -42,6 +44,8 @@ KINDS = [*BASE, *MORE]
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "email_spelled": r"(?i)[(\[]at[)\]]", "phone_plain": r"[0-9][ .-][0-9]{4}", "national_id": r"-[0-9]{2}-", "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"(?i)akia|[a-z][ \t]*[=:]"}
 CONTEXT = 24
 _WORDS_NEAR = r"(?i)mail|contact|phone|call|tel|fax|card|visa|credit|iban|account|ssn|social|address|host|server|login|password|user"
+#: Features of which a kind's validator is made.
+OF_RULE = {"card": ("digits", "size"), "phone": ("digits", "size"), "secret": ("digits", "size", "variety"), "email_spelled": ("size",)}
 #: Features and their number of values.
 FEATURES = {"digits": 8, "marks": 4, "variety": 4, "size": 6, "near": 2, "glued": 2, "letters": 2}
 
@@ -67,6 +71,15 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))) % 10 == 0
 
 
+def _mod97(found: Column) -> Column:
+    """Whether an account number's remainder by 97 is 1: its first four characters behind the rest, letters as 10 to 35."""
+    plain = F.upper(F.regexp_replace(found, "[^0-9A-Za-z]", ""))
+    turned = F.split(F.concat(F.substring(plain, 5, 1 << 30), F.substring(plain, 1, 4)), "")
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    step = lambda acc, c: F.when(c == "", acc).otherwise((acc * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+    return F.aggregate(turned, F.lit(0), step) == 1
+
+
 def _valid(s: Column) -> Column:
     """What a kind's validator says; null where it can't judge."""
     digits = _digits(s["found"])
@@ -80,7 +93,7 @@ def _valid(s: Column) -> Column:
         .when(s["kind"] == "national_id", ~s["found"].rlike("^(?:000|666|9)") & ~s["found"].rlike("-00-|-0000$"))
         .when(s["kind"] == "phone_plain", ~digits.rlike("^[01]"))
         .when(s["kind"] == "secret", s["found"].rlike("[0-9]") & (F.length(F.regexp_replace(s["found"], r"^.*[=:][ \t]*", "")) >= 8))
-        .when(s["kind"] == "iban", n >= 10)
+        .when(s["kind"] == "iban", F.when(n >= 10, _mod97(s["found"])).otherwise(False))
         .otherwise(s["found"].rlike("(?i)[a-z]{2,}$"))
     )
 
@@ -89,7 +102,7 @@ def _features(s: Column, text: Column) -> dict[str, Column]:
     before = F.substring(text, F.greatest(s["start"] + 1 - CONTEXT, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
     after = F.substring(text, s["end"] + 1, F.lit(1))
     n = F.length(_digits(s["found"]))
-    return {
+    told = {
         "digits": F.least(F.floor(n / 3), F.lit(7)),
         "marks": F.least(F.length(F.regexp_replace(s["found"], "[A-Za-z0-9]", "")), F.lit(3)),
         "variety": F.least(F.floor(F.size(F.array_distinct(F.split(F.lower(s["found"]), ""))) / 5), F.lit(3)),
@@ -98,10 +111,12 @@ def _features(s: Column, text: Column) -> dict[str, Column]:
         "glued": (before.rlike("[A-Za-z0-9]$") | after.rlike("^[A-Za-z0-9]")).cast("int"),
         "letters": s["found"].rlike("[A-Za-z]").cast("int"),
     }
+    blank = {f: [k for k, names in OF_RULE.items() if f in names] for f in told}
+    return {f: F.when(s["kind"].isin(blank[f]), 0).otherwise(v) if blank[f] else v for f, v in told.items()}
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fold, spans): every proposed span of every whole text, with its validator's word and its features; matched text isn't kept."""
+    """(doc_id, text_sha256, fold, spans): every proposed span of every whole text, with its validator's word and its features; matched text isn't kept."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.select("doc_id", "text", F.concat(*[_spans(F.col("text"), k, p) for k, p in (BASE | MORE).items()]).alias("spans"))
@@ -110,7 +125,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         features = [v.cast("int").alias(k) for k, v in _features(s, F.col("text")).items()]
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.coalesce(_valid(s), F.lit(False)).alias("valid"), *features)
 
-    return docs.select("doc_id", fold(F.col("doc_id"), 5).alias("fold"), F.transform("spans", told).alias("spans"))
+    return docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), fold(F.col("doc_id"), 5).alias("fold"), F.transform("spans", told).alias("spans"))
 
 
 class Boosted:
@@ -170,23 +185,29 @@ class Boosted:
         return 1 / (1 + np.exp(-(self.bias + sum((of(t, x) for t in self.trees), np.zeros(len(x))))))
 
 
-def fit(cands: DataFrame, precision: float = 0.95) -> tuple[Boosted | None, dict[str, float]]:
-    """Trees, and a threshold by kind: the lowest score above which at least ``precision`` of the held-out fold's candidates are valid; above 1 if none is.
+def counted(cands: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds, feature vectors (kinds as a column each), labels, counts and whether held out, of all candidates.
 
     At most as many rows reach the driver as there are kinds, feature vectors, labels and folds.
     """
     rows = cands.select("fold", F.inline("spans")).groupBy("kind", *FEATURES, "valid", (F.col("fold") == 0).alias("held")).count().collect()
-    if not rows:
-        return None, dict.fromkeys(KINDS, 2.0)
     rows.sort(key=lambda r: tuple(map(str, r)))
-    x = np.array([[KINDS.index(r["kind"]), *(r[f] for f in FEATURES)] for r in rows])
-    y, w, held = (np.array([float(r[c]) for r in rows]) for c in ("valid", "count", "held"))
+    kinds = np.array([KINDS.index(r["kind"]) for r in rows], int)
+    x = np.array([[*(int(k == r["kind"]) for k in KINDS), *(r[f] for f in FEATURES)] for r in rows], int).reshape(len(rows), len(KINDS) + len(FEATURES))
+    return kinds, x, *(np.array([float(r[c]) for r in rows]) for c in ("valid", "count", "held"))
+
+
+def fit(cands: DataFrame, precision: float = 0.95) -> tuple[Boosted | None, dict[str, float]]:
+    """Trees, and a threshold by kind: the lowest score above which at least ``precision`` of the held-out fold's candidates are valid; above 1 if none is."""
+    kinds, x, y, w, held = counted(cands)
+    if not len(x):
+        return None, dict.fromkeys(KINDS, 2.0)
     learn = held == 0 if (held == 0).any() else held == held
     model = Boosted(x[learn], y[learn], w[learn])
     p, limits = model.scores(x), {}
     for k, kind in enumerate(KINDS):
-        on = (x[:, 0] == k) & (held == 1)
-        on = on if w[on].sum() >= 20 else x[:, 0] == k  # too few are held out to judge by
+        on = (kinds == k) & (held == 1)
+        on = on if w[on].sum() >= 20 else kinds == k  # too few are held out to judge by
         limits[kind] = 2.0
         for cut in sorted(set(p[on].round(6)), reverse=True):  # the last that meets it is the lowest
             above = on & (p >= cut - 1e-6)
@@ -195,24 +216,38 @@ def fit(cands: DataFrame, precision: float = 0.95) -> tuple[Boosted | None, dict
     return model, limits
 
 
+def evaluated(cands: DataFrame, precision: float = 0.95) -> dict[str, tuple[float, float, int]]:
+    """Of each kind's held-out candidates: precision and recall of the trees at the kind's threshold (not helped by the validator), and how many there are."""
+    kinds, x, y, w, held = counted(cands)
+    model, limits = fit(cands, precision)
+    out = {}
+    for k, kind in enumerate(KINDS):
+        on = (kinds == k) & (held == 1)
+        if w[on].sum():
+            above = on & (model.scores(x) >= limits[kind])
+            out[kind] = (float(w[above] @ y[above] / max(1, w[above].sum())), float(w[above] @ y[above] / max(1, w[on] @ y[on])), int(w[on].sum()))
+    return out
+
+
 def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans), a row per row of ``docs`` (doc_id, text).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, text_sha256), a row per row of ``docs`` (doc_id, text; other columns are not read).
 
     A base span is a valid match of a base pattern. ``spans`` has these and what the
     trees add: kind:start:end in code points, by kind as listed in ``KINDS``, then
-    start. A null text is empty. Without any candidate nothing is learned and nothing found.
+    start. A null text is empty; texts of any length are read whole. Rows that share an id, or have none, are
+    each judged by their own text; they are in the same fold. Without any candidate, as in an empty table, nothing is learned and nothing found.
     """
     cands = written(candidates(docs), "pii-candidates")
     model, limits = fit(cands)
     base = F.filter("spans", lambda s: s["kind"].isin(list(BASE)) & s["valid"])
-    cands = cands.select("doc_id", "spans", base.alias("base"))
+    cands = cands.select("doc_id", "text_sha256", "spans", base.alias("base"))
 
     def added(s: Column) -> Column:
-        p = model.expression([sum((F.when(s["kind"] == k, i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0)), *(s[f] for f in FEATURES)])
+        p = model.expression([*((s["kind"] == k).cast("int") for k in KINDS), *(s[f] for f in FEATURES)])
         enough = sum((F.when(s["kind"] == k, F.lit(limits[k])).otherwise(0.0) for k in KINDS), F.lit(0.0))
         apart = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return F.when(s["kind"].isin(list(BASE)), s["valid"]).otherwise(s["valid"] & (p >= enough) & apart)  # what a kind's validator refutes stays out
@@ -220,15 +255,21 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     if model:
         cands = cands.withColumn("spans", F.when(F.size("spans") > 0, F.filter("spans", added)).otherwise(F.col("spans")))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return cands.select("doc_id", *[count(k) for k in BASE], F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
+    return cands.select("doc_id", *[count(k) for k in BASE], F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), "text_sha256")
 
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[{}]") -> DataFrame:
-    """``docs`` with the spans that :func:`find_personal_data` found replaced by their kind. Overlapping spans are one, named by the first."""
-    spans = F.filter(F.split(F.col("_spans"), ","), lambda s: s != "")
+    """``docs`` with the spans that :func:`find_personal_data` found replaced by their kind. Overlapping spans are one, named by the first.
+
+    A row gets what was found in its own text, also where rows share an id or have
+    none. All columns are kept, whatever their names; a null text stays null.
+    """
+    told, key, sha = (fresh(docs, c) for c in ("_spans", "_id", "_sha"))
+    spans = F.filter(F.split(F.col(told), ","), lambda s: s != "")
     parts = F.array_sort(F.transform(spans, lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end"), F.split(s, ":")[0].alias("kind"))))
     before, after = (F.lit(x) for x in mark.split("{}"))
     step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), before, s["kind"], after).alias("out")))
-    told = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    side = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("spans").alias("_spans"))
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]), "left").withColumn("text", F.when(F.size(parts) > 0, told).otherwise(F.col("text"))).drop("_id", "_spans")
+    whole = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    side = found.filter("n_spans > 0").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha), F.col("spans").alias(told)).dropDuplicates([key, sha])
+    same = docs["doc_id"].cast("long").eqNullSafe(side[key]) & (F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256) == side[sha])
+    return docs.join(side, same, "left").withColumn("text", F.when(F.size(parts) > 0, whole).otherwise(F.col("text"))).select(*docs.columns)
