@@ -6,7 +6,8 @@ the escape character stands before itself and before every place where a
 control string begins, so reading a formatted conversation back is exact.
 
 Conversations stream through sorted partitions with a state of fixed size, so a
-conversation of any length needs no more memory than one of its turns.
+conversation of any length needs no more memory than one of its turns. Its digest
+is of its turns in order, so one task reads a conversation: time, unlike memory, grows with the longest.
 """
 
 from __future__ import annotations
@@ -75,7 +76,8 @@ def format_turns(conversations: DataFrame, template: Template | None = None) ->
     ``conversations`` needs conv_id, turn, role, text. Null text or role is empty;
     a null conv_id is a conversation; a null turn comes first; equal turns stand by
     role, then text, all of them. A turn that the machine doesn't allow is
-    formatted too, with in_order false, and the machine goes on from its role.
+    formatted too, with in_order false, and the machine goes on from its role. Texts of any
+    length are formatted whole. Empty input gives an empty result; other columns are not read.
     """
     template = template or Template()
 
@@ -99,8 +101,12 @@ def format_turns(conversations: DataFrame, template: Template | None = None) ->
     return rows.mapInArrow(run, SEGMENTS)
 
 
-def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """A row per conversation, from the rows of :func:`format_turns` in their order: digests of the turns and of the text under the loss, read back from the formatted text, and whether the machine accepted it."""
+def read_back(formatted: DataFrame, template: Template | None = None, in_order: bool = False) -> DataFrame:
+    """A row per conversation, from the rows of :func:`format_turns`, whatever order they are read in: digests of the turns and of the text under the loss, read back from the formatted text, and whether the machine accepted it.
+
+    ``in_order`` says that they come straight from there, each conversation's
+    together and in turn, which saves a shuffle. A null conv_id is a conversation. Empty input gives an empty result; other columns are not read.
+    """
     template = template or Template()
 
     def run(batches):
@@ -136,4 +142,35 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
             yield pa.RecordBatch.from_pylist(done, schema=schema)
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    columns = ["conv_id", "turn_no", "state", "in_order", "segments"]
+    if not in_order:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
+    return formatted.select(columns).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+
+
+def _sql_template(t: Template) -> str:
+    q = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    mark = " ".join(f"WHEN {q(role)} THEN {len(m)}" for role, m in t.open.items())
+    return f"CASE role {mark} ELSE {len(t.other) + len(t.name_end)} + length(role) END + {len(t.close)}"
+
+
+#: DuckDB SQL for the rows of op8, with the default template: every control string begins with ``###`` or is ``</turn>``, so the
+#: places that are escaped are these, overlapping ones too, and the escape character.
+SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT -7, turn, role, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
+walked AS (
+  SELECT *, coalesce(lag(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END IGNORE NULLS) OVER w, 'start') AS before,
+         length(text) - length(replace(text, '\\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+         + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{{3,}}'), lambda x: length(x) - 2)), 0)
+         + length(text) + {_sql_template(Template())} AS chars
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars,
+       bool_and((before, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')))
+       AND last(role ORDER BY turn NULLS FIRST, role, text) FILTER (role IN ('system', 'user', 'assistant')) = 'assistant' AS valid
+FROM walked GROUP BY conv_id
+"""
