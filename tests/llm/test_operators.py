@@ -252,7 +252,7 @@ def test_redaction(spark):
 
 def test_threshold_is_the_lowest_cut_that_meets_the_precision(spark, monkeypatch):
     """The highest scored cell is a thin invalid one; what lies below meets the precision."""
-    monkeypatch.setattr(pii.Boosted, "scores", lambda self, x: 0.9 - 0.1 * x[:, 1 + list(pii.FEATURES).index("digits")])
+    monkeypatch.setattr(pii.Boosted, "scores", lambda self, x: 0.9 - 0.1 * x[:, len(pii.KINDS) + list(pii.FEATURES).index("digits")])
     cells = [(0, False, 1), (1, True, 200), (2, False, 100)]
     one = "named_struct('kind', 'iban', 'start', 0, 'end', 9, 'valid', {}, " + ", ".join(f"'{f}', " + ("{}" if f == "digits" else "0") for f in pii.FEATURES) + ")"
     rows = [spark.range(n).selectExpr("0 AS fold", f"array({one.format(valid, digits)}) AS spans") for digits, valid, n in cells]
@@ -295,7 +295,7 @@ def test_attention_windows_equal_one_pass():
     ids = rng.integers(0, 49, sum(sizes))
     opens = np.cumsum([0, *sizes[:-1]])
     first = np.repeat(opens, sizes)
-    got = lm.log_likelihood(t, ids, first, np.zeros(50), windows=2)
+    got = lm.log_likelihood(t, ids, first, np.zeros((50, lm.KINDS)), windows=2)
     for i in range(len(ids)):
         x = [49 if p == first[i] else ids[p - 1] for p in range(first[i], i + 1)]
         lo = max(first[i], (i // lm.STRIDE - 1) * lm.STRIDE) - first[i]
@@ -316,7 +316,7 @@ def test_lm_learns_from_documents_outside_the_draw(spark):
     mixed = [(i, " ".join(rng.permutation(t.split())) if zlib.crc32(str(i).encode()) % 5 != 1 else t) for i, t in ordered]
     held = []
     for rows in (ordered, mixed):
-        got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), sample=0).filter("held_out")
+        got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), sample=0, word_share=0.0).filter("held_out")
         held.append({r["doc_id"]: r["score"] for r in got.collect()})
     assert held[0].keys() == held[1].keys() and all(held[0][i] > held[1][i] for i in held[0])
 
@@ -324,12 +324,12 @@ def test_lm_learns_from_documents_outside_the_draw(spark):
 def test_lm_left_neighbours_of_all_training_documents(spark, docs):
     rows = spark.createDataFrame([(i, i % 3 == 0, t) for i, t, _, _ in docs[:60]], "doc_id long, held_out boolean, text string").repartition(5)
     got = lm.counted_left(lm.blocks(rows, tokens.default_path(), 50256).filter("blob IS NOT NULL").select("block", "size", "blob"), 50256)
-    want = np.zeros((50257, 64))
+    want = np.zeros((50257, lm.KINDS))
     for i, t, _, _ in docs[:60]:
         if i % 3:
             ids = lm.subwords([*(t or "").encode().lower().split(), b" "], tokens.default_path(), 50256)[0].astype(np.int64)
             for before, one in zip([50256, *ids[:-1]], ids, strict=True):
-                want[one, (int(before) * 2654435761 >> 7) % 64] += 1
+                want[one, (int(before) * 2654435761 >> 7) % lm.KINDS] += 1
     assert (got == want).all()
 
 
