@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tables import AMBIGUOUS, LANGUAGE_OF
+from .tables import AMBIGUOUS, LANGUAGE_OF, TSX_SUFFIXES
 
 
 def node_id(*parts) -> Column:
@@ -50,11 +50,12 @@ def byte_codes(content: Column, most: int = 8192) -> Column:
     return F.transform(F.regexp_extract_all(head, F.lit("(..)"), 1), lambda x: F.conv(x, 16, 10).cast("int"))
 
 
-def entropy(codes: Column) -> Column:
-    """Shannon entropy of an array's values, bits; 0 if empty. Counts runs of the sorted array."""
-    n = F.size(codes)
-    runs = F.transform(F.array_distinct(codes), lambda c: F.size(F.filter(codes, lambda x: x == c)) / n)
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(runs, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
+def char_entropy(text: Column) -> Column:
+    """Shannon entropy of a text's characters, bits; 0 if empty. Each distinct one is counted by what the text loses without it."""
+    n = F.length(text)
+    chars = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    shares = F.transform(chars, lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
+    return F.when(n == 0, 0.0).otherwise(F.abs(F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))))
 
 
 def byte_entropy(content: Column) -> Column:
@@ -83,7 +84,7 @@ def is_binary_content(content: Column) -> Column:
     codes = byte_codes(content)
     n = F.size(codes)
     control = F.size(F.filter(codes, lambda c: c.between(1, 8) | c.between(14, 31)))
-    return F.when(content.isNull() | (F.length(content) == 0) | marked, False).when(F.array_contains(codes, 0), True).when(control / n > 0.05, True).otherwise(entropy(codes) > 7.5)
+    return F.when(content.isNull() | (F.length(content) == 0) | marked, False).when(F.array_contains(codes, 0), True).when(control / n > 0.05, True).otherwise(byte_entropy(F.substring(content, 1, 8192)) > 7.5)
 
 
 def split_identifier(name: Column) -> Column:
@@ -106,6 +107,58 @@ def strip_line_comment(text: Column, prefix: str) -> Column:
     return F.trim(F.array_join(F.transform(F.split(text, "\n", -1), one), "\n"))
 
 
+def clean_docstring(raw: Column, language: Column) -> Column:
+    """A docstring without its language's comment marks."""
+    block = lambda: strip_block_comment(raw)
+    slashes = F.when(F.ltrim(raw).startswith("///"), strip_line_comment(raw, "///")).otherwise(block())
+    general = F.when(F.ltrim(raw).startswith("/*"), block()).otherwise(strip_line_comment(raw, "//"))
+    out = F.when(language == "python", raw).when(language.isin("rust", "swift", "c_sharp"), slashes)
+    return out.when(language == "vb6", strip_line_comment(raw, "'")).when(language == "go", strip_line_comment(raw, "//")).when(language == "ruby", strip_line_comment(raw, "#")).otherwise(general)
+
+
+def is_exported(language: Column, name: Column, declaration: Column) -> Column:
+    """Whether a symbol is visible from outside, by its language's rule on its name or the text of its declaration; true where there is no rule.
+
+    A modifier counts where it stands as a word in the declaration's first line, before the name.
+    """
+    head = F.call_function("substring_index", F.substring_index(declaration, "\n", 1), name, F.lit(1))
+    has = lambda *words: head.rlike(r"\b(?:" + "|".join(words) + r")\b")
+    out = F.when(language == "python", ~name.startswith("_")).when(language == "go", name.rlike(r"^\p{Lu}"))
+    out = out.when(language.isin("javascript", "typescript"), F.ltrim(declaration).startswith("export "))
+    out = out.when(language.isin("java", "c_sharp", "apex"), has("public")).when(language == "rust", has("pub"))
+    out = out.when(language == "kotlin", ~has("private", "internal")).when(language.isin("c", "cpp"), ~has("static"))
+    out = out.when(language == "php", has("public") | ~has("private")).when(language == "swift", has("public", "open"))
+    out = out.when(language == "vb6", ~F.lower(F.substring_index(declaration, "\n", 1)).contains("private")).when(language.isin("scala", "delphi"), ~has("private"))
+    return out.when(language == "solidity", ~declaration.rlike(r"\b(?:private|internal)\b")).otherwise(True)
+
+
+def is_tsx(path: Column) -> Column:
+    return suffix_of(path).isin(TSX_SUFFIXES)
+
+
+#: Visual Basic 6 source as the parser of its successor reads it: pattern and replacement, in order.
+_VB6 = [
+    (r"(?im)^VERSION\s[^\n]*\n", ""),
+    (r"(?ims)^BEGIN\b.*?^END\s*$\n?", ""),
+    (r"(?im)^Attribute\s[^\n]*\n?", ""),
+    (r"(?im)^(\s*(?:Public\s+|Private\s+)?)Type\s+(\w+)", "$1Structure $2"),
+    (r"(?im)^(\s*)End\s+Type\b", "$1End Structure"),
+    (r"(?im)^(\s*)Set\s+(?=[\w.]+\s*=)", "$1"),
+    (r"(?im)^(\s*)Wend\b", "$1End While"),
+    (r"(?im)^(\s*)On\s+Error\b[^\n]*", "$1"),
+    (r"(?im)^(\s*)Option\s+(?:Base|Compare|Private)\b[^\n]*", "$1"),
+    (r"(?im)^(\s*)GoSub\s+(\w+)", "$1$2()"),
+    (r"(?im)^(\s*)Def(?:Bool|Byte|Int|Lng|Cur|Sng|Dbl|Date|Str|Obj|Var)\b[^\n]*", "$1"),
+]
+
+
+def vb6_as_vb(content: Column, name: Column) -> Column:
+    """Visual Basic 6 source rewritten line by line: headers and attributes go, statements that its successor dropped become ones it has, all inside a Module, so that lines move by one."""
+    for pattern, new in _VB6:
+        content = F.regexp_replace(content, pattern, new)
+    return F.concat(F.lit("Module "), F.regexp_replace(name, r"\W", "_"), F.lit("\n"), content, F.lit("\nEnd Module\n"))
+
+
 def brief_signature(name: Column, params: Column, returns: Column) -> Column:
     """name(params)[ -> type], at most 500 characters, cut to 497 and three dots."""
     kind = F.trim(F.regexp_replace(F.coalesce(returns, F.lit("")), r"^\s*(->|:)\s*", ""))
