@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_binary_content
 from ..functions.tables import ALLOWED_PAIRS
 
 
+def file_facts(files: DataFrame) -> DataFrame:
+    """(id, line_count, binary) of File nodes, of scanned files (path, content): how many line ends a file has, 0 if it is binary or can't be read."""
+    binary = is_binary_content(F.col("content"))
+    hexed = F.hex("content")
+    lines = F.size(F.filter(F.regexp_extract_all(hexed, F.lit("(..)"), 1), lambda x: x == "0A")).cast("long")
+    return files.select(F.concat(F.lit("File:"), "path").alias("id"), F.when(binary | F.col("content").isNull(), 0).otherwise(lines).alias("line_count"), binary.alias("binary"))
+
+
 def folder_hierarchy(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of files (path, ...): a File per path, a Folder per proper prefix, CONTAINS from each to the next. A root file has no parent."""
     parts = F.split("path", "/")
@@ -29,6 +38,11 @@ def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(first.alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
+def label_of(node_id: Column) -> Column:
+    """The label that an id begins with."""
+    return F.substring_index(node_id, ":", 1)
+
+
 def with_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends both exist, with their labels."""
     end = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"))
@@ -97,8 +111,9 @@ def next_only(rows: DataFrame, by: list[str], order: list[str], is_head: str, is
     return takers.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth", "_part")
 
 
-def runs(rows: DataFrame, by: list[str], order: str, gap: int, last: str) -> DataFrame:
-    """(by..., run, first, last, n): rows whose ``order`` follows the row before by at most ``gap`` form a run."""
+def runs(rows: DataFrame, by: list[str], order: str, gap: int, text: str | None = None, prefix: str | None = None) -> DataFrame:
+    """(by..., run, first, last, n): rows whose ``order`` follows the row before by at most ``gap`` form a run; with ``prefix``, of the rows whose ``text`` begins so."""
+    rows = rows.filter(F.ltrim(F.col(text)).startswith(prefix)) if prefix else rows
     w = Window.partitionBy(*by).orderBy(order)
     rows = rows.withColumn("_new", (F.col(order) - F.lag(order).over(w) > gap).cast("long"))
     rows = rows.withColumn("run", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_path
-from ..functions.tables import RESOLVE_SUFFIXES
+from ..functions.tables import RESOLVE_SUFFIXES, SEARCH_ORDER
 from .graph import first_wins
 
 CALLABLE = ["Function", "Method", "Constructor"]
@@ -42,8 +42,10 @@ class Symbols:
         named = F.when(F.col("type") != "Property", F.col("name"))
         return self.rows.agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("symbols"), F.countDistinct(named).alias("global_names"))
 
-    def match(self, column: str, value: str, rank: Column, limit: int) -> DataFrame:
-        return self.rows.filter(F.col(column) == value).withColumn("rank", rank).orderBy("rank", "node_id", "seq").limit(limit)
+    def match(self, column: str, value: str, limit: int, rank: Column | None = None) -> DataFrame:
+        """The first rows of a name or file, by their labels' place in the search order (or a rank of one's own), then id."""
+        rank = F.array_position(F.array(*[F.lit(x) for x in SEARCH_ORDER]), F.col("type")) if rank is None else rank
+        return self.rows.filter(F.col("type").isin(SEARCH_ORDER) & (F.col(column) == value)).withColumn("rank", rank).orderBy("rank", "node_id", "seq").limit(limit)
 
 
 def delta(current: DataFrame, cached: DataFrame) -> DataFrame:
@@ -81,9 +83,14 @@ def unique_suffixes(index: DataFrame) -> DataFrame:
     return index.groupBy("suffix").agg(F.countDistinct("path").alias("n"), F.min("path").alias("path")).filter("n = 1").select("suffix", "path")
 
 
-def in_folder(folders: DataFrame, files: DataFrame) -> DataFrame:
-    """(folder, path): the files right inside each folder, found by any trailing part of a folder's path."""
-    own = files.select("path", F.regexp_replace("path", "/?[^/]*$", "").alias("folder"))
+def with_suffix(index: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(suffix, path): every path of each of the given trailing parts."""
+    return index.join(suffixes.select("suffix").distinct(), "suffix")
+
+
+def in_folder(folders: DataFrame, files: DataFrame, extension: str = "") -> DataFrame:
+    """(folder, path): the files right inside each folder that end in ``extension``, found by any trailing part of a folder's path."""
+    own = files.filter(F.col("path").endswith(extension)).select("path", F.regexp_replace("path", "/?[^/]*$", "").alias("folder"))
     parts = F.split("folder", "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     return own.select("path", F.explode(tails).alias("folder")).join(folders, "folder").select("folder", "path").distinct()
@@ -116,3 +123,9 @@ def upserted(registry: DataFrame, new: DataFrame, key: str = "path") -> DataFram
 
 def newest(registry: DataFrame, name: str) -> DataFrame:
     return registry.filter(F.lower("name") == name.lower()).orderBy(F.desc("indexed_at"), "path").limit(1)
+
+
+def sample(nodes: DataFrame, edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The first n file paths in order, and the first n edges by id."""
+    paths = nodes.filter("label = 'File'").select("file_path").orderBy("file_path").limit(n)
+    return paths, edges.orderBy("id").limit(n)

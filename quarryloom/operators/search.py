@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine
+from ..functions.scalars import cosine, split_identifier
 from .lineage import cut
 
 
@@ -24,9 +26,11 @@ def nearest(vectors: DataFrame, query: list[float], k: int, most: float | None =
     return rows.orderBy("distance", "id").limit(k)
 
 
-def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score) for documents (doc_id, text): words lower-cased, apart by white space. The few query terms are counted in one pass."""
+def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, stemmed: bool = False) -> DataFrame:
+    """(doc_id, score) for documents (doc_id, text): words lower-cased, apart by white space. The few query terms are counted in one pass; with ``stemmed``, by stems."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    if stemmed:
+        words, terms = stems(words), sorted({porter(t) for t in terms})
     equal = lambda t: lambda w: w == F.lit(t)
     tf = [F.size(F.filter("words", equal(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     rows = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("len"), *tf)
@@ -65,6 +69,7 @@ def rerank_mmr(candidates: DataFrame, query: list[float], k: int, weight: float
 
 def hops(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     """(id, hop): least number of steps from ``start`` (id), up to ``most``. Each round joins the frontier alone and drops what was reached before."""
+    edges = cut(edges.select("source_id", "target_id").distinct())  # each round reads them, none computes them again
     reached = start.select("id").distinct().withColumn("hop", F.lit(0))
     frontier = reached
     for hop in range(1, most + 1):
@@ -103,15 +108,27 @@ def interactions(edges: DataFrame, members: DataFrame, least: int = 3) -> DataFr
     return both.groupBy(F.least("source_c", "target_c").alias("a"), F.greatest("source_c", "target_c").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
-def traces(edges: DataFrame, entries: DataFrame, most: int = 10, least: int = 3) -> DataFrame:
-    """(trace): paths from the entries (id) along edges, as far as they go, without cycles; short ones and those whose steps another trace holds are dropped."""
-    paths = entries.select(F.array("id").alias("trace"))
+def traces(edges: DataFrame, entries: DataFrame, most: int = 10, least: int = 3, per_entry: int | None = None) -> DataFrame:
+    """(trace): paths from the entries (id) along edges, up to ``most`` steps, without cycles; short ones and those whose steps another trace holds are dropped.
+
+    Their number grows with the branches on the way. ``per_entry`` keeps, at
+    every step, the first so many paths of an entry, by their steps: a bound that cuts results.
+    """
+    edges = cut(edges.select("source_id", "target_id").distinct())
+    paths = entries.select(F.array("id").alias("trace")).distinct()
     done = None
     for _ in range(most - 1):
         step = paths.join(edges, (F.element_at("trace", -1) == edges["source_id"]) & ~F.array_contains("trace", edges["target_id"]), "left")
-        ended = step.filter("target_id IS NULL").select("trace")
+        step = step.select(F.when(F.col("target_id").isNull(), F.col("trace")).otherwise(F.concat("trace", F.array("target_id"))).alias("trace"), F.col("target_id").isNull().alias("ended"))
+        if per_entry:
+            first = Window.partitionBy(F.col("trace")[0], "ended").orderBy("trace")
+            step = step.withColumn("nth", F.row_number().over(first)).filter((F.col("nth") <= per_entry) | F.col("ended")).drop("nth")
+        step = cut(step)
+        ended = step.filter("ended").select("trace")
         done = ended if done is None else done.unionByName(ended)
-        paths = step.filter("target_id IS NOT NULL").select(F.concat("trace", F.array("target_id")).alias("trace"))
+        paths = step.filter("NOT ended").select("trace")
+        if paths.isEmpty():
+            break
     done = done.unionByName(paths).filter(F.size("trace") >= least).distinct()
     # a larger trace holds the first step too: an equi-join on one of its steps
     steps = done.select(F.col("trace").alias("big"), F.explode("trace").alias("step"))
@@ -123,3 +140,130 @@ def blended(vector: Column, text: Column, other: Column, weight: float = 0.7) ->
     """weight * cosine + (1 - weight) * Levenshtein similarity."""
     longest = F.greatest(F.length(text), F.length(other), F.lit(1))
     return weight * vector + (1 - weight) * (1 - F.levenshtein(text, other) / longest)
+
+
+#: Words that say nothing of what is looked for.
+STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "what", "where", "which", "with"]
+
+
+def query_terms(text: Column) -> Column:
+    """Search terms of a query: words and the parts of compound names, lower case, each once, stop words left out."""
+    words = F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}_.\-/]+", " "), " "), lambda w: w != "")
+    parts = F.flatten(F.transform(words, lambda w: F.split(F.lower(split_identifier(w)), " ")))
+    return F.filter(F.array_distinct(parts), lambda w: ~w.isin(STOP_WORDS) & (w != ""))
+
+
+def confidence(tier: Column) -> Column:
+    """How sure a call's resolution is: 1.0 in the same file, 0.8 by an import, 0.4 by a name alone; null for none."""
+    return F.when(tier == "same-file", 1.0).when(tier == "import", 0.8).when(tier == "global", 0.4)
+
+
+def resolved_calls(calls: DataFrame, symbols: DataFrame, imported: DataFrame) -> DataFrame:
+    """(path, seq, source_id, target_id, confidence): calls (path, seq, name, source_id) by the best tier.
+
+    A callable of the same file, else one of a file that the caller imports
+    (from_file, target), else the only one of that name anywhere.
+    """
+    known = symbols.filter(F.col("label").isin("Function", "Method", "Constructor", "Class")).select(F.col("path").alias("at"), "name", F.col("node_id").alias("target_id"))
+    own = calls.join(known.withColumnRenamed("at", "path"), ["path", "name"]).withColumn("tier", F.lit("same-file"))
+    reach = imported.select(F.col("from_file").alias("path"), F.col("target").alias("at")).distinct()
+    by_import = calls.join(reach, "path").join(known, ["at", "name"]).withColumn("tier", F.lit("import")).drop("at")
+    alone = known.groupBy("name").agg(F.min("target_id").alias("target_id"), F.countDistinct("target_id").alias("n")).filter("n = 1").drop("n")
+    by_name = calls.join(alone, "name").withColumn("tier", F.lit("global"))
+    columns = ["path", "seq", "source_id", "target_id", "tier"]
+    found = own.select(columns).unionByName(by_import.select(columns)).unionByName(by_name.select(columns)).withColumn("confidence", confidence(F.col("tier")))
+    best = found.groupBy("path", "seq", "source_id").agg(F.max_by("target_id", F.struct("confidence", "target_id")).alias("target_id"), F.max("confidence").alias("confidence"))
+    return best.select("path", "seq", "source_id", "target_id", "confidence")
+
+
+def decayed(reached: DataFrame, rate: float, most: int) -> DataFrame:
+    """(id, hop, weight): the ``most`` nearest of :func:`hops`, weighted exp(-rate * hop), ties by id."""
+    return reached.withColumn("weight", F.exp(-F.lit(rate) * F.col("hop"))).orderBy("hop", "id").limit(most)
+
+
+def by_community(hits: DataFrame, members: DataFrame, strong: int = 5, moderate: int = 2) -> DataFrame:
+    """(community, hits, score, signal) of hits (id, score): strong, moderate or weak by how many fall into a community."""
+    out = hits.join(members, "id").groupBy("community").agg(F.count("*").alias("hits"), F.sum("score").alias("score"))
+    return out.withColumn("signal", F.when(F.col("hits") >= strong, "strong").when(F.col("hits") >= moderate, "moderate").otherwise("weak"))
+
+
+def processes_of(steps: DataFrame, members: DataFrame, community) -> DataFrame:
+    """(process, ids): the steps (process, step, id), in order, of every process that has a step in the community."""
+    touching = steps.join(members.filter(F.col("community") == community), "id", "left_semi").select("process").distinct()
+    found = steps.join(touching, "process", "left_semi")
+    return found.groupBy("process").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "id"))), lambda x: x["id"]).alias("ids"))
+
+
+def layered(text_hits: DataFrame, vector_hits: DataFrame, edges: DataFrame, members: DataFrame, rate: float = 0.5, most_hops: int = 2, most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(ids with weight, communities): two ranked lists (id, rank) fused, their neighbourhood weighted by distance, and the communities they fall into."""
+    hits = cut(fused(text_hits, vector_hits))
+    around = decayed(hops(edges, hits.select("id"), most_hops), rate, most)
+    return around, by_community(hits, members)
+
+
+#: Porter's suffixes of steps 2, 3 and 4, longest first where one ends another.
+_STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
+_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+
+
+def porter(word: str) -> str:
+    """A lower-case English word's stem by Porter's algorithm of 1980."""
+    if len(word) < 3:
+        return word
+    forms = lambda stem: "".join("v" if c in "aeiou" or (c == "y" and i and stem[i - 1] not in "aeiou") else "c" for i, c in enumerate(stem))
+    measure = lambda stem: len(re.findall("v+c+", forms(stem)))
+    double = lambda w: len(w) > 1 and w[-1] == w[-2] and forms(w)[-1] == "c"
+    short = lambda w: forms(w)[-3:] == "cvc" and w[-1] not in "wxy"
+    if word.endswith("sses") or word.endswith("ies"):
+        word = word[:-2]
+    elif word.endswith("s") and not word.endswith("ss"):
+        word = word[:-1]
+    if word.endswith("eed"):
+        word = word[:-1] if measure(word[:-3]) else word
+    else:
+        for end in ("ed", "ing"):
+            if word.endswith(end) and "v" in forms(word[: -len(end)]):
+                word = word[: -len(end)]
+                if word.endswith(("at", "bl", "iz")):
+                    word += "e"
+                elif double(word) and word[-1] not in "lsz":
+                    word = word[:-1]
+                elif measure(word) == 1 and short(word):
+                    word += "e"
+                break
+    if word.endswith("y") and "v" in forms(word[:-1]):
+        word = word[:-1] + "i"
+    for rules in (_STEP2, _STEP3):
+        for end, new in sorted(rules, key=lambda x: -len(x[0])):
+            if word.endswith(end):
+                word = word[: -len(end)] + new if measure(word[: -len(end)]) else word
+                break
+    for end in sorted(_STEP4, key=lambda x: -len(x)):
+        if word.endswith(end):
+            stem = word[: -len(end)]
+            if measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
+                word = stem
+            break
+    if word.endswith("e") and (measure(word[:-1]) > 1 or (measure(word[:-1]) == 1 and not short(word[:-1]))):
+        word = word[:-1]
+    if word.endswith("ll") and measure(word) > 1:
+        word = word[:-1]
+    return word
+
+
+def stems(words: Column) -> Column:
+    """Stems of an array of words; an option for text search, off by default."""
+
+    @F.pandas_udf("array<string>")
+    def of(column: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+
+        def one(word: str) -> str:
+            if word not in known:
+                known[word] = porter(word)
+            return known[word]
+
+        return column.map(lambda ws: None if ws is None else [one(w) for w in ws])
+
+    return of(words)

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import re
 import subprocess
+from collections.abc import Callable
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_binary_content
 from ..functions.tables import CHUNK_BYTES, IGNORED, MAX_FILE_BYTES
+from ..operators.imports import Configs
+
+#: Names of the first configuration file that has aliases, and folders whose folders are package targets.
+TSCONFIGS = ["tsconfig.json", "tsconfig.app.json", "tsconfig.base.json"]
+SWIFT_FOLDERS = ["Sources", "Package/Sources", "src"]
 
 
 def ignore_regex(pattern: str) -> tuple[bool, str] | None:
@@ -48,36 +56,50 @@ def is_ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def _hidden(spark: SparkSession, root: str, most: int) -> list[tuple]:
-    """(path, size, content) of files whose names begin with ``.`` or ``_``, which Spark's readers pass over; read by the driver, file by file."""
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, walk = [], store.listFiles(top, True)
+def _hidden(spark: SparkSession, root: str, most: int, wanted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(path, length, content) of files that Spark's readers pass over: below ``root`` under a name that begins with ``.`` or ``_``, or empty.
+
+    The driver lists them (paths and sizes); tasks read those that ``wanted`` leaves, a file at a time.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    walk = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True)
+    found, base = [], root.split("://")[-1].rstrip("/") + "/"
     while walk.hasNext():
         status = walk.next()
-        if status.getPath().getName()[0] in "._" and status.getLen() <= most:
-            stream = store.open(status.getPath())
-            found.append((status.getPath().toString(), status.getLen(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-            stream.close()
-    return found
+        path, size = status.getPath().toString(), status.getLen()
+        if size <= most and (size == 0 or re.search(r"(?:^|/)[._]", path.split(base, 1)[-1])):
+            found.append((path, size))
+    listed = wanted(spark.createDataFrame(found, "path string, length long"))
+
+    def read(batches):
+        for b in batches:
+            for path, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                store, at = pa_fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                with store.open_input_stream(at) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length], pa.int64()), pa.array([f.read()], pa.binary())], ["path", "length", "content"])
+
+    return listed.select("path", "length").mapInArrow(read, "path string, length long, content binary")
 
 
 def scan(spark: SparkSession, root: str, patterns: list[str] = (), exclude_folders: list[str] = (), most: int = MAX_FILE_BYTES, hidden: bool = True) -> DataFrame:
-    """(path, size, content) below ``root``: relative paths, without ignored files, dot-folders, excluded folder names and files beyond ``most`` bytes. Selecting path and size reads no content.
+    """(path, size, content) below ``root``: relative paths, without ignored files, dot-folders, excluded folder names and files beyond ``most`` bytes.
 
-    With ``hidden``, also files whose names begin with ``.`` or ``_``; without, what Spark's readers list.
+    With ``hidden``, also empty files and those under names that begin with ``.`` or ``_``; without, what
+    Spark's readers list, of which path and size can be selected without a content being read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= most).select("path", "length", "content")
-    if hidden and (more := _hidden(spark, root, most)):
-        files = files.unionByName(spark.createDataFrame(more, "path string, length long, content binary"))
     base = root.split("://")[-1].rstrip("/")
-    path = F.regexp_replace("path", f"^.*?{re.escape(base)}/", "")
-    files = files.select(path.alias("path"), F.col("length").alias("size"), "content")
-    files = files.filter(~F.col("path").rlike(r"(?:^|/)\.[^/]+/")).filter(~is_ignored(F.col("path"), list(patterns)))
-    for name in exclude_folders:
-        files = files.filter(~F.concat(F.lit("/"), F.col("path")).contains(f"/{name}/"))
-    return files
+
+    def wanted(files: DataFrame) -> DataFrame:
+        path = F.regexp_replace("path", f"^.*?{re.escape(base)}/", "")
+        keep = ~path.rlike(r"(?:^|/)\.[^/]+/") & ~is_ignored(path, list(patterns))
+        for name in exclude_folders:
+            keep = keep & ~F.concat(F.lit("/"), path).contains(f"/{name}/")
+        return files.withColumn("_path", path).filter(keep & (F.col("length") <= most))
+
+    files = wanted(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content"))
+    if hidden:
+        files = files.unionByName(wanted(_hidden(spark, root, most, wanted)))
+    return files.select(F.col("_path").alias("path"), F.col("length").alias("size"), "content")
 
 
 def texts(files: DataFrame) -> DataFrame:
@@ -88,15 +110,29 @@ def texts(files: DataFrame) -> DataFrame:
 def chunk_numbers(files: DataFrame, budget: int = CHUNK_BYTES, group: str | None = None) -> DataFrame:
     """Adds ``chunk`` to files (seq, size): filled in order up to ``budget`` bytes; a larger file is alone.
 
-    The sum starts anew with each chunk, so the files of a ``group`` are walked in
-    order; without a group that is one walk over (seq, size) of all.
+    The sum starts anew with each chunk, so a ``group`` (say, a repository) is
+    walked in order, in one task, with a state of fixed size. Without a group that is one walk over
+    (seq, size) of all, which more machines don't shorten.
     """
-    step = lambda acc, x: F.when((acc["sum"] > 0) & (acc["sum"] + x["size"] > budget), F.struct(x["size"].alias("sum"), (acc["chunk"] + 1).alias("chunk"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), (acc["chunk"] + 1).alias("chunk")))).alias("out"))).otherwise(F.struct((acc["sum"] + x["size"]).alias("sum"), acc["chunk"].alias("chunk"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), acc["chunk"].alias("chunk")))).alias("out")))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("chunk"), F.array().cast("array<struct<seq:bigint,chunk:bigint>>").alias("out"))
-    by = [F.col(group)] if group else []
-    walked = files.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("size").cast("long").alias("size")))).alias("all"))
-    walked = walked.select(*by, F.inline(F.aggregate("all", start, step, lambda acc: acc["out"])))
-    return files.join(walked, ["seq", *([group] if group else [])])
+    rows = files.select(*([F.col(group).alias("group")] if group else [F.lit(0).alias("group")]), F.col("seq").cast("long").alias("seq"), F.col("size").cast("long").alias("size"))
+    kind = rows.schema["group"].dataType.simpleString()
+    rows = (rows.repartition("group") if group else rows.coalesce(1)).sortWithinPartitions("group", "seq")
+
+    def walk(batches):
+        now, total, chunk = object(), 0, 0
+        for b in batches:
+            out = []
+            for of, size in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if of != now:
+                    now, total, chunk = of, 0, 0
+                if total > 0 and total + size > budget:
+                    total, chunk = 0, chunk + 1
+                total += size
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["group", "seq", "chunk"])
+
+    walked = rows.mapInArrow(walk, f"group {kind}, seq long, chunk long")
+    return files.join(walked.withColumnRenamed("group", group), ["seq", group]) if group else files.join(walked.drop("group"), "seq")
 
 
 def tsconfig_aliases(content: Column) -> Column:
@@ -137,5 +173,46 @@ def changed_in_git(spark: SparkSession, root: str, scope: str = "all", base: str
     return spark.createDataFrame([(n,) for n in names], "path string")
 
 
+def swift_targets(paths: DataFrame) -> DataFrame:
+    """(name, folder) of the package targets that scanned paths (path) show: a folder right below one of the source folders; of equal names the last source folder's."""
+    found = None
+    for rank, top in enumerate(SWIFT_FOLDERS):
+        name = F.regexp_extract("path", f"^{top}/([^/]+)/", 1)
+        own = paths.select(name.alias("name"), F.concat(F.lit(f"{top}/"), name).alias("folder"), F.lit(rank).alias("rank")).filter("name <> ''")
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("name").agg(F.max_by("folder", "rank").alias("folder"))
+
+
+def load_configs(files: DataFrame) -> Configs:
+    """What the configuration files of a scan (path, content) say. Only they are read; what can't be read says nothing."""
+    depth = F.size(F.split("path", "/")) - 1
+    wanted = F.col("path").isin([*TSCONFIGS, "go.mod", "composer.json"]) | (F.col("path").endswith(".csproj") & (depth <= 6))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    told = files.filter(wanted).select("path", tsconfig_aliases(text).alias("aliases"), go_module(text).alias("go"), psr4(text).alias("psr4"), root_namespace(F.col("path"), text).alias("space"))
+    rows = {r["path"]: r for r in told.orderBy("path").collect()}  # a repository's few configuration files
+    aliases = next((rows[n]["aliases"] for n in TSCONFIGS if n in rows and rows[n]["aliases"]), {})
+    spaces = [(r["space"], p.rpartition("/")[0] or ".") for p, r in rows.items() if p.endswith(".csproj")]
+    targets = {r["name"]: r["folder"] for r in swift_targets(files.select("path")).collect()}
+    of = lambda name, column: rows[name][column] if name in rows else None
+    return Configs(aliases, of("go.mod", "go"), of("composer.json", "psr4") or {}, spaces, targets)
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    """(path, hash): SHA-256 of each file's bytes."""
+    return files.select("path", F.sha2("content", 256).alias("hash"))
+
+
+def git_state(root: str) -> dict:
+    """Whether ``root`` is in a git work tree, that tree's top folder and its current commit; None where git can't say. Runs on the driver."""
+
+    def ask(*words: str) -> str | None:
+        try:
+            return subprocess.run(["git", "-C", root, *words], capture_output=True, text=True, timeout=30, check=True).stdout.strip()
+        except (OSError, subprocess.SubprocessError):
+            return None
+
+    return {"is_repo": ask("rev-parse", "--is-inside-work-tree") == "true", "root": ask("rev-parse", "--show-toplevel"), "head": ask("rev-parse", "HEAD")}
+
+
 def latest_first(rows: DataFrame, key: str, at: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).filter("_n = 1").drop("_n")
