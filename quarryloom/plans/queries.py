@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import tables as T
 from ..operators import graph as G
+from ..operators import imports as I
 from ..operators import lookups as L
+from ..operators import rebuild as R
 from ..operators import search as Q
 from ..sources import extract, files
 from ..streaming import changes
+from . import sources as P
 from .bindings import COMMERCE_SQL, PAGES_SQL, SNAPSHOTS_SQL, SYMBOLS_SQL, commerce, page_files, snapshots, symbol_table, table
 
+#: The part of PAGES_SQL that gives the paths alone.
+FILES_SQL = PAGES_SQL.split(",\nchain")[0]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -66,10 +72,26 @@ def folder_fan_out(spark, sf_dir):
     return G.degree(G.folder_hierarchy(page_files(spark, sf_dir))[1], "source")
 
 
-@query(f"WITH {PAGES_SQL}, gone AS (SELECT id FROM nodes WHERE label = 'Folder' AND length(id) % 5 = 0) SELECT id FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)")
+@query(f"WITH {PAGES_SQL}, gone AS (SELECT id FROM nodes WHERE file_path IN (SELECT path FROM files WHERE length(path) % 5 = 0)) SELECT id, source_id, target_id FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)")
 def remove_by_file(spark, sf_dir):
-    nodes, edges = G.folder_hierarchy(page_files(spark, sf_dir))
-    return G.without(nodes, edges, nodes.filter("label = 'Folder' AND length(id) % 5 = 0"))[1].select("id")
+    pages = page_files(spark, sf_dir)
+    return R.removed_by_file(*G.folder_hierarchy(pages), pages.filter("length(path) % 5 = 0"))[1].select("id", "source_id", "target_id")
+
+
+@query(f"WITH {PAGES_SQL} SELECT count(*) AS n FROM nodes WHERE file_path IN (SELECT path FROM files WHERE length(path) % 5 = 0)")
+def removed_by_file_count(spark, sf_dir):
+    pages = page_files(spark, sf_dir)
+    return R.removed_by_file(*G.folder_hierarchy(pages), pages.filter("length(path) % 5 = 0"))[2].agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PAGES_SQL} SELECT file_path FROM nodes WHERE label = 'File' ORDER BY file_path LIMIT 10")
+def sample_paths(spark, sf_dir):
+    return L.sample(*G.folder_hierarchy(page_files(spark, sf_dir)), 10)[0]
+
+
+@query(f"WITH {PAGES_SQL} SELECT id, source_id, target_id FROM edges ORDER BY id LIMIT 10")
+def sample_edges(spark, sf_dir):
+    return L.sample(*G.folder_hierarchy(page_files(spark, sf_dir)), 10)[1].select("id", "source_id", "target_id")
 
 
 # Commerce graph
@@ -156,11 +178,25 @@ def community_interacts(spark, sf_dir):
     return Q.interactions(*_communities(spark, sf_dir))
 
 
-@query()
+def _rounds(n: int) -> str:
+    """Label propagation in SQL: a round is a vote of the neighbours' labels, the smallest of the commonest wins."""
+    out = "l0 AS (SELECT DISTINCT a AS id, a AS community FROM sides)"
+    for k in range(n):
+        out += f", v{k} AS (SELECT a AS id, community, count(*) AS n FROM sides JOIN l{k} ON b = id GROUP BY 1, 2), l{k + 1} AS (SELECT id, community FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, community) = 1)"
+    return out
+
+
+@query(f"WITH {PAGES_SQL}, sides AS (SELECT source_id AS a, target_id AS b FROM edges WHERE source_id <> target_id UNION SELECT target_id, source_id FROM edges WHERE source_id <> target_id), {_rounds(3)} SELECT id, community FROM l3")
 def label_propagation(spark, sf_dir):
     return Q.propagated_labels(G.folder_hierarchy(page_files(spark, sf_dir))[1], 3)
 
 
+@query(f"WITH RECURSIVE {COMMERCE_SQL}, walk AS (SELECT 'Region:0' AS id, 0 AS hop UNION SELECT target_id, hop + 1 FROM walk JOIN edges ON source_id = id WHERE hop < 3), near AS (SELECT id, min(hop)::INT AS hop FROM walk GROUP BY id) SELECT id, hop, round(exp(-0.5 * hop), 9) AS weight FROM near ORDER BY hop, id LIMIT 200")
+def hop_decay(spark, sf_dir):
+    reached = Q.hops(commerce(spark, sf_dir)[1], inline(spark, [("Region:0",)], "id string"), 3)
+    return Q.decayed(reached, 0.5, 200).withColumn("weight", F.round("weight", 9))
+
+
 DAG = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "c"), ("p", "q"), ("c", "a")]
 
 
@@ -235,11 +271,10 @@ def replacement_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(S.replacement_share(F.col("text")), 6).alias("share"))
 
 
-@query("SELECT doc_id, round(-sum(p * log2(p)), 6) AS bits FROM (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(substring(text, 1, 400), '')) AS ch FROM documents) GROUP BY 1, 2)) GROUP BY 1")
+@query("SELECT doc_id, round(abs(-sum(p * log2(p))), 6) AS bits FROM (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY 1, 2)) GROUP BY 1")
 def entropy_chars(spark, sf_dir):
-    """Entropy of the first 400 characters only, as its SQL has it; :func:`entropy_bytes` takes whole texts."""
-    codes = F.transform(F.regexp_extract_all(F.substring("text", 1, 400), F.lit("(?s)."), 0), lambda c: F.ascii(c))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.entropy(codes), 6).alias("bits"))
+    """Entropy of all characters of the whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.char_entropy(F.col("text")), 6).alias("bits"))
 
 
 @query()
@@ -324,6 +359,79 @@ def relative_imports(spark, sf_dir):
     return rows.select("module", S.relative_module(F.col("module"), F.col("file")).alias("stem"))
 
 
+_EXTENSIONS = values(sorted(T.LANGUAGE_OF.items()))
+
+
+@query(f"WITH e AS (SELECT *, row_number() OVER (ORDER BY ext) - 1 AS i FROM (VALUES {_EXTENSIONS}) t(ext, language)) SELECT page_id, language FROM pages JOIN e ON page_id % {len(T.LANGUAGE_OF)} = i")
+def language_of_pages(spark, sf_dir):
+    """Every suffix that a language has, dealt to the pages."""
+    ends = F.array(*[F.lit(x) for x in sorted(T.LANGUAGE_OF)])
+    path = F.concat(F.lit("a.b/c"), F.get(ends, (F.col("page_id") % len(T.LANGUAGE_OF)).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", S.language_of(path, F.lit("")).alias("language"))
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS tsx FROM pages")
+def tsx_pages(spark, sf_dir):
+    path = F.concat(F.lit("a/b"), F.element_at(F.array(F.lit(".tsx"), F.lit(".ts"), F.lit(".jsx")), (F.col("page_id") % 3 + 1).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", S.is_tsx(path).alias("tsx"))
+
+
+@query("SELECT p_partkey AS id, replace(p_name, ' ', '_') || CASE WHEN len(regexp_extract_all(p_name, '[a-z]+|[0-9]+')) = 0 THEN '' ELSE ' ' || array_to_string(regexp_extract_all(p_name, '[a-z]+|[0-9]+'), ' ') END AS parts FROM part WHERE p_name = lower(p_name) AND NOT regexp_matches(p_name, '[^a-z0-9 ]')")
+def split_part_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").filter("p_name = lower(p_name) AND NOT p_name RLIKE '[^a-z0-9 ]'")
+    return rows.select(F.col("p_partkey").alias("id"), S.split_identifier(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("parts"))
+
+
+@query("SELECT p_partkey AS id, p_name || '(' || p_brand || ', ' || p_type || ') -> ' || p_size AS signature, 2 AS n FROM part")
+def part_signatures(spark, sf_dir):
+    params = F.concat(F.lit("("), "p_brand", F.lit(", "), "p_type", F.lit(")"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.brief_signature(F.col("p_name"), params, F.concat(F.lit("-> "), F.col("p_size").cast("string"))).alias("signature"), S.parameter_count(params).alias("n"))
+
+
+@query(f"WITH {FILES_SQL} SELECT path, 'a/' || path AS plain FROM files WHERE NOT regexp_matches(path, '(^|/)\\.{{0,2}}(/|$)')")
+def page_paths_normal(spark, sf_dir):
+    rows = page_files(spark, sf_dir).filter(r"NOT path RLIKE '(^|/)\\.{0,2}(/|$)'")
+    return rows.select("path", S.normal_path(F.concat(F.lit("./a/b/../"), "path", F.lit("/x/.."))).alias("plain"))
+
+
+@query("SELECT p_partkey AS id, 'a/' || p_size || '/m' || p_partkey AS stem FROM part")
+def part_relative_modules(spark, sf_dir):
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.relative_module(F.concat(F.lit(".."), size, F.lit(".m"), key), F.lit("a/b/c.py")).alias("stem"))
+
+
+@query("SELECT p_partkey AS id, p_name || chr(10) || p_brand AS block, p_name || chr(10) || p_brand AS slashes, p_name AS hash, p_name AS plain FROM part")
+def clean_docstrings(spark, sf_dir):
+    both = lambda a, b, c, d: F.concat(F.lit(a), F.col("p_name"), F.lit(b), F.col("p_brand") if c else F.lit(""), F.lit(d))
+    clean = lambda raw, language: S.clean_docstring(raw, F.lit(language))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), clean(both("/** ", "\n * ", True, "\n */"), "java").alias("block"), clean(both("/// ", "\n/// ", True, ""), "rust").alias("slashes"), clean(both("# ", "", False, ""), "ruby").alias("hash"), clean(F.col("p_name"), "python").alias("plain"))
+
+
+@query("SELECT p_partkey AS id, p_size % 2 = 0 AS java, p_size % 3 = 0 AS go, p_size % 2 <> 0 AS kotlin, true AS perl FROM part")
+def exported_by_language(spark, sf_dir):
+    even = F.col("p_size") % 2 == 0
+    told = lambda language, name, text: S.is_exported(F.lit(language), name, text)
+    name = F.when(F.col("p_size") % 3 == 0, "Public").otherwise("private")
+    java = F.concat(F.when(even, "public ").otherwise(""), F.lit("class Thing {"))
+    kotlin = F.concat(F.when(even, "private ").otherwise(""), F.lit("fun go() {"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), told("java", F.lit("Thing"), java).alias("java"), told("go", name, F.lit("func x()")).alias("go"), told("kotlin", F.lit("go"), kotlin).alias("kotlin"), told("perl", F.lit("x"), F.lit("sub x")).alias("perl"))
+
+
+@query("SELECT p_partkey AS id, 'Module m' || p_partkey || chr(10) || 'Public Structure T' || p_size || chr(10) || '  x As Long' || chr(10) || 'End Structure' || chr(10) || 'a = b' || chr(10) || 'End While' || chr(10) || chr(10) || 'End Module' || chr(10) AS code FROM part")
+def vb6_rewritten(spark, sf_dir):
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    code = F.concat(F.lit('VERSION 1.0 CLASS\nBEGIN\n  MultiUse = -1\nEND\nAttribute VB_Name = "x"\nPublic Type T'), size, F.lit("\n  x As Long\nEnd Type\nSet a = b\nWend\n"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.vb6_as_vb(code, F.concat(F.lit("m"), key)).alias("code"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash, length(text) - length(replace(text, chr(10), '')) AS line_count FROM documents")
+def file_facts(spark, sf_dir):
+    """Texts as files: digest of the bytes, and lines."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    facts = G.file_facts(rows).select(F.regexp_replace("id", "^File:", "").alias("path"), "line_count")
+    return files.file_hashes(rows).join(facts, "path").select(F.col("path").cast("long").alias("doc_id"), "hash", "line_count")
+
+
 @query("SELECT page_id, substring(md5(url), 1, 12) AS key FROM pages")
 def repo_hash(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.storage_key(F.col("url")).alias("key"))
@@ -369,19 +477,21 @@ def symbol_stats(spark, sf_dir):
     return L.Symbols(symbol_table(spark, sf_dir)).stats()
 
 
-RANKS = ["Function", "Class", "Method", "Constructor", "Property"]
-
-
-@query(f"WITH {SYMBOLS_SQL} SELECT seq, node_id, type FROM symbols WHERE name = {FIRST} ORDER BY list_position({RANKS}, type), node_id, seq LIMIT 5")
+@query(f"WITH {SYMBOLS_SQL} SELECT seq, node_id, type FROM symbols WHERE name = {FIRST} ORDER BY list_position({T.SEARCH_ORDER}, type), node_id, seq LIMIT 5")
 def match_by_name(spark, sf_dir):
-    rank = F.array_position(F.array(*[F.lit(r) for r in RANKS]), F.col("type"))
-    return L.Symbols(symbol_table(spark, sf_dir)).match("name", _first_name(spark, sf_dir), rank, 5).select("seq", "node_id", "type")
+    return L.Symbols(symbol_table(spark, sf_dir)).match("name", _first_name(spark, sf_dir), 5).select("seq", "node_id", "type")
 
 
-@query(f"WITH {SYMBOLS_SQL} SELECT seq, node_id, type FROM symbols WHERE file_path = 'Brand#11' ORDER BY list_position({RANKS}, type), node_id, seq LIMIT 20")
+@query(f"WITH {SYMBOLS_SQL} SELECT seq, node_id, type FROM symbols WHERE file_path = 'Brand#11' ORDER BY list_position({T.SEARCH_ORDER}, type), node_id, seq LIMIT 20")
 def match_by_file(spark, sf_dir):
-    rank = F.array_position(F.array(*[F.lit(r) for r in RANKS]), F.col("type"))
-    return L.Symbols(symbol_table(spark, sf_dir)).match("file_path", "Brand#11", rank, 20).select("seq", "node_id", "type")
+    return L.Symbols(symbol_table(spark, sf_dir)).match("file_path", "Brand#11", 20).select("seq", "node_id", "type")
+
+
+@query(f"WITH {SYMBOLS_SQL} SELECT seq, node_id, type FROM symbols WHERE file_path = 'Brand#11' AND name = (SELECT min(name) FROM symbols WHERE file_path = 'Brand#11')")
+def symbol_exact_all(spark, sf_dir):
+    symbols = symbol_table(spark, sf_dir)
+    name = symbols.filter("file_path = 'Brand#11'").agg(F.min("name")).first()[0]
+    return L.Symbols(symbols).exact_all("Brand#11", name).select("seq", "node_id", "type")
 
 
 # Search
@@ -404,6 +514,20 @@ def vector_within(spark, sf_dir):
     return Q.nearest(*_vectors(spark, sf_dir), 50, most=0.9).select("id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"WITH {VECTORS} SELECT d.id, round(distance, 6) AS distance, embedding[1]::DOUBLE AS first, len(embedding)::INT AS size FROM d JOIN embeddings ON vec_id = d.id ORDER BY d.distance, d.id LIMIT 10")
+def vector_with_embedding(spark, sf_dir):
+    rows, q = _vectors(spark, sf_dir)
+    found = Q.nearest(rows, q, 10).join(rows, "id")
+    return found.select("id", F.round("distance", 6).alias("distance"), F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").alias("size"))
+
+
+@query("WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id AS id, round(0.7 * list_cosine_similarity(embedding::DOUBLE[], e) + 0.3 * (1 - levenshtein(vec_id::VARCHAR, '12345') / greatest(length(vec_id::VARCHAR), 5)), 6) AS score FROM embeddings, q")
+def blended_similarity(spark, sf_dir):
+    rows, q = _vectors(spark, sf_dir)
+    near = S.cosine(F.col("embedding"), F.array(*[F.lit(v) for v in q]))
+    return rows.select("id", F.round(Q.blended(near, F.col("id").cast("string"), F.lit("12345")), 6).alias("score"))
+
+
 @query()
 def mmr_rerank(spark, sf_dir):
     rows, q = _vectors(spark, sf_dir)
@@ -433,6 +557,29 @@ def rrf_fusion(spark, sf_dir):
     return Q.fused(text, near).select("id", F.round("score", 8).alias("score"))
 
 
+@query(f"WITH {BM25}, hits AS (SELECT doc_id, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY 2 DESC, doc_id LIMIT 50) SELECT source AS community, count(*) AS hits, round(sum(score), 4) AS score, CASE WHEN count(*) >= 5 THEN 'strong' WHEN count(*) >= 2 THEN 'moderate' ELSE 'weak' END AS signal FROM hits JOIN documents USING (doc_id) GROUP BY 1")
+def hits_by_community(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    hits = Q.bm25(docs, TERMS).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
+    found = Q.by_community(hits, docs.select(F.col("doc_id").alias("id"), F.col("source").alias("community")))
+    return found.withColumn("score", F.round("score", 4))
+
+
+@query("WITH touching AS (SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R') SELECT o_custkey AS process, string_agg(o_orderkey, ',' ORDER BY o_orderdate, o_orderkey) AS ids FROM orders WHERE o_custkey IN (SELECT o_custkey FROM touching) GROUP BY 1")
+def processes_touching(spark, sf_dir):
+    """Customers' orders as processes, return flags as communities."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("process"), F.struct("o_orderdate", "o_orderkey").alias("step"), F.col("o_orderkey").alias("id"))
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("community"))
+    return Q.processes_of(orders, members, "R").select("process", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query(f"SELECT p_partkey AS id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(p_name), '[a-z]+|[0-9]+')), lambda w: w NOT IN ({', '.join(repr(w) for w in Q.STOP_WORDS)}))), ' ') AS terms FROM part")
+def query_terms(spark, sf_dir):
+    """Part names, their words apart: lower case, no word twice, no stop word."""
+    spaced = F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.sort_array(Q.query_terms(spaced)), " ").alias("terms"))
+
+
 # Ordered walks
 
 
@@ -449,18 +596,64 @@ def assignment_next_only(spark, sf_dir):
 
 @query("WITH g AS (SELECT conv_id, turn, coalesce((turn - lag(turn) OVER w > 2)::INT, 0) AS new FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT conv_id, run::BIGINT AS run, min(turn) AS first, max(turn) AS last, count(*) AS n FROM r GROUP BY 1, 2")
 def comment_runs(spark, sf_dir):
-    return G.runs(table(spark, sf_dir, "conversations").filter("role = 'user'"), ["conv_id"], "turn", 2, "turn")
+    return G.runs(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", 2, "role", "user")
 
 
 # Resolution
 
-FILES_SQL = PAGES_SQL.split(",\nchain")[0]
+_TAILS = "[" + ", ".join(repr(x) for x in T.RESOLVE_SUFFIXES) + "]"
+_TARGETS = f"{FILES_SQL}, told AS (SELECT DISTINCT path || {_TAILS}[length(path) % 30 + 1] AS path FROM files UNION SELECT path || {_TAILS}[length(path) * 7 % 30 + 1] FROM files)"
 
 
-@query(f"WITH {FILES_SQL} SELECT 'here' AS from_file, './x/../' || path AS raw_path, path AS target FROM files")
+def _suffixed(pages: DataFrame) -> DataFrame:
+    tails = F.array(*[F.lit(x) for x in T.RESOLVE_SUFFIXES])
+    one = lambda i: pages.select(F.concat("path", F.get(tails, i)).alias("path"))
+    return one(F.length("path") % 30).unionByName(one(F.length("path") * 7 % 30)).distinct()
+
+
+@query(f"WITH {_TARGETS}, tries AS (SELECT path AS raw, i, path || {_TAILS}[i] AS target FROM files, unnest(range(1, 31)) t(i)) SELECT 'here' AS from_file, './x/../' || raw AS raw_path, arg_min(target, i) AS target FROM tries WHERE target IN (SELECT path FROM told) GROUP BY raw")
 def import_candidates_exact(spark, sf_dir):
+    """Every path with two of the thirty suffixes as files: the earlier one wins."""
     pages = page_files(spark, sf_dir)
-    return L.resolved_exact(pages.select(F.lit("here").alias("from_file"), F.concat(F.lit("./x/../"), "path").alias("raw_path")), pages)
+    imports = pages.select(F.lit("here").alias("from_file"), F.concat(F.lit("./x/../"), "path").alias("raw_path"))
+    return L.resolved_exact(imports, _suffixed(pages))
+
+
+_PY = "replace(replace(path, '.', '_'), '-', '_')"
+
+
+@query(f"WITH {FILES_SQL}, mods AS (SELECT DISTINCT {_PY} AS m FROM files) SELECT 'x.py' AS from_file, replace(m, '/', '.') AS raw_path, m || CASE WHEN length(m) % 2 = 0 THEN '.py' ELSE '/__init__.py' END AS target FROM mods WHERE m LIKE '%/%'")
+def imports_python(spark, sf_dir):
+    """Dotted imports of page paths, half of them packages."""
+    plain = page_files(spark, sf_dir).select(F.expr(_PY).alias("m")).distinct()
+    known = plain.select(F.concat("m", F.when(F.length("m") % 2 == 0, ".py").otherwise("/__init__.py")).alias("path"))
+    imports = plain.filter("m LIKE '%/%'").select(F.lit("python").alias("language"), F.lit("x.py").alias("from_file"), F.replace("m", F.lit("/"), F.lit(".")).alias("raw_path"))
+    return I.resolved(imports, known)
+
+
+@query(f"WITH {FILES_SQL}, own AS (SELECT path || '.go' AS path, regexp_replace(path, '/[^/]*$', '') AS folder FROM files WHERE path LIKE '%/%'), wanted AS (SELECT DISTINCT folder FROM own) SELECT 'm.go' AS from_file, 'example.org/mod/' || w.folder AS raw_path, own.path AS target FROM wanted w JOIN own ON own.folder = w.folder OR ends_with(own.folder, '/' || w.folder)")
+def imports_go(spark, sf_dir):
+    """Packages of a module: all files of their folders."""
+    pages = page_files(spark, sf_dir).filter("path LIKE '%/%'")
+    folders = pages.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
+    imports = folders.select(F.lit("go").alias("language"), F.lit("m.go").alias("from_file"), F.concat(F.lit("example.org/mod/"), "folder").alias("raw_path"))
+    return I.resolved(imports, pages.select(F.concat("path", F.lit(".go")).alias("path")), I.Configs(go_module="example.org/mod"))
+
+
+@query(f"WITH {FILES_SQL} SELECT 'm.swift' AS from_file, top AS raw_path, path || '.swift' AS target FROM (SELECT path, string_split(path, '/')[1] AS top FROM files WHERE path LIKE '%/%') WHERE top IN (SELECT DISTINCT string_split(path, '/')[1] FROM files ORDER BY 1 LIMIT 5)")
+def imports_swift(spark, sf_dir):
+    """Five hosts as package targets: every file below."""
+    pages = page_files(spark, sf_dir)
+    tops = [r["top"] for r in pages.select(F.split("path", "/")[0].alias("top")).distinct().orderBy("top").limit(5).collect()]
+    imports = inline(spark, [("swift", "m.swift", t) for t in tops], "language string, from_file string, raw_path string")
+    return I.resolved(imports, pages.select(F.concat("path", F.lit(".swift")).alias("path")), I.Configs(swift_targets={t: t for t in tops}))
+
+
+@query(f"WITH {FILES_SQL}, tails AS (SELECT path, array_to_string(p[i:], '/') AS t FROM (SELECT path, string_split(path, '/') AS p, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM files)), idx AS (SELECT DISTINCT path, t AS suffix FROM tails UNION SELECT path, regexp_replace(t, '\\.[^./]+$', '') FROM tails) SELECT suffix, path FROM idx WHERE suffix IN (SELECT string_split(path, '/')[-1] FROM files)")
+def suffix_all(spark, sf_dir):
+    """All paths of every last part."""
+    pages = page_files(spark, sf_dir)
+    return L.with_suffix(L.suffix_index(pages), pages.select(F.element_at(F.split("path", "/"), -1).alias("suffix")))
 
 
 SUFFIXES = f"WITH {FILES_SQL}, parts AS (SELECT path, string_split(%s, '/') AS p FROM files), tails AS (SELECT path, array_to_string(p[i:], '/') AS t FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS i FROM parts)), idx AS (SELECT DISTINCT path, t AS suffix FROM tails UNION SELECT path, regexp_replace(t, '\\.[^./]+$', '') FROM tails) SELECT suffix, min(path) AS path FROM idx GROUP BY 1 HAVING count(DISTINCT path) = 1"
@@ -499,13 +692,24 @@ def type_priority(spark, sf_dir):
     return L.receiver_types(inline(spark, BOUND, "path string, var string, type string, tier string, seq int"))
 
 
-BUILTINS = ["the", "of", "and", "to", "in"]
+@query(f"SELECT w AS name, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE w <> '' AND w NOT IN ({', '.join(repr(b) for b in sorted(T.BUILTIN_CALLS))}) GROUP BY 1")
+def builtin_filter(spark, sf_dir):
+    """Words as calls, those of built-in names left out."""
+    words = table(spark, sf_dir, "documents").select(F.lit("call").alias("kind"), F.explode(F.split("text", r"\s+")).alias("name")).filter("name <> ''")
+    return extract.without_builtins(words).groupBy("name").agg(F.count("*").alias("n"))
+
 
+@query("SELECT n_name AS name, n_nationkey AS path, 'new' AS indexed_at FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_name, n_nationkey, 'old' FROM nation WHERE n_regionkey <> 1 AND n_nationkey % 2 = 0")
+def registry_of_nations(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    of = lambda rows, at: rows.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("path"), F.lit(at).alias("indexed_at"))
+    return L.upserted(of(nation.filter("n_nationkey % 2 = 0"), "old"), of(nation.filter("n_regionkey = 1"), "new"))
 
-@query(f"SELECT w AS name, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE w <> '' AND w NOT IN ({', '.join(repr(b) for b in BUILTINS)}) GROUP BY 1")
-def builtin_filter(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("name")).filter("name <> ''")
-    return words.filter(~F.col("name").isin(BUILTINS)).groupBy("name").agg(F.count("*").alias("n"))
+
+@query("SELECT r_name AS name, r_regionkey AS path, 'a' || r_regionkey AS indexed_at FROM region WHERE lower(r_name) = 'asia'")
+def registry_newest(spark, sf_dir):
+    rows = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("path"), F.concat(F.lit("a"), F.col("r_regionkey").cast("string")).alias("indexed_at"))
+    return L.newest(rows, "Asia")
 
 
 OLD = [("a", "/a", "2024-01-01"), ("B", "/b", "2024-01-02")]
@@ -584,9 +788,90 @@ def owner_edges(spark, sf_dir):
     return extract.owner_edges(extract.symbols(found))
 
 
+# Extraction over a source for every part
+
+
+def _part_rows(spark, sf_dir):
+    return extract.extracted(P.part_sources(spark, sf_dir))
+
+
+@query(P.DEFINITIONS)
+def part_definitions(spark, sf_dir):
+    found = extract.symbols(_part_rows(spark, sf_dir))
+    return found.select("path", "name", "label", "owner_id", F.col("line").cast("int").alias("line"), F.col("end_line").cast("int").alias("end_line"), "exported")
+
+
+@query(P.IMPORTS)
+def part_imports(spark, sf_dir):
+    return _part_rows(spark, sf_dir).filter("kind = 'import'").select("path", "name", "detail")
+
+
+@query(P.CALLS)
+def part_calls(spark, sf_dir):
+    found = extract.enclosing(_part_rows(spark, sf_dir))
+    return found.select("path", "name", F.col("label").alias("form"), F.col("detail").alias("receiver"), F.col("extra").alias("args"), "source_id")
+
+
+@query(P.HERITAGE)
+def part_heritage(spark, sf_dir):
+    return _part_rows(spark, sf_dir).filter("kind = 'heritage'").select("path", "name", F.col("detail").alias("base"))
+
+
+@query(P.ASSIGNMENTS)
+def part_assignments(spark, sf_dir):
+    return _part_rows(spark, sf_dir).filter("kind = 'assignment'").select("path", "name", F.col("detail").alias("receiver"), "scope")
+
+
+@query(P.TYPES)
+def part_types(spark, sf_dir):
+    return _part_rows(spark, sf_dir).filter("kind = 'type'").select("path", F.col("name").alias("var"), F.col("label").alias("tier"), F.col("detail").alias("type"))
+
+
+@query(P.SELF_TYPES)
+def part_self_types(spark, sf_dir):
+    return extract.self_types(_part_rows(spark, sf_dir)).groupBy("path", "type").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(P.NODES)
+def part_graph_nodes(spark, sf_dir):
+    nodes = extract.source_graph(_part_rows(spark, sf_dir), P.part_sources(spark, sf_dir))[0]
+    return nodes.select("id", "label", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
+
+
+@query(P.EDGES)
+def part_graph_edges(spark, sf_dir):
+    return extract.source_graph(_part_rows(spark, sf_dir), P.part_sources(spark, sf_dir))[1].select("source_id", "target_id", "type")
+
+
+@query(P.RESOLVED)
+def part_calls_resolved(spark, sf_dir):
+    rows = _part_rows(spark, sf_dir)
+    reach = inline(spark, [], "from_file string, target string")
+    return Q.resolved_calls(extract.enclosing(rows), extract.symbols(rows), reach).select("path", "source_id", "target_id", "confidence")
+
+
+@query(P.NODES.replace("AS path FROM part", "AS path FROM part WHERE p_partkey % 11 <> 0"))
+def part_graph_rebuilt(spark, sf_dir):
+    """The graph of parts but every 13th, brought to that of parts but every 11th, every 7th having changed."""
+    sources = P.part_sources(spark, sf_dir)
+    key = F.regexp_extract("path", "([0-9]+)[.]py$", 1).cast("long")
+    now, then = sources.filter(key % 11 != 0), sources.filter(key % 13 != 0)
+    then = then.withColumn("content", F.when(key % 7 == 0, F.replace("content", F.lit("def _free"), F.lit("def _old"))).otherwise(F.col("content")))
+    nodes, edges = extract.source_graph(extract.extracted(then), then)
+    cached = then.select("path", F.sha2("content", 256).alias("hash"))
+    nodes = R.rebuild(nodes, edges, now, cached)[0]
+    return nodes.select("id", "label", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
+
+
 # Streaming shapes, as batches
 
 
+@query("WITH e AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER w >= INTERVAL 30 minute)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, run")
+def user_sessions(spark, sf_dir):
+    out = changes.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def windowed_counts(spark, sf_dir):
     out = changes.windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))

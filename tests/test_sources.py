@@ -20,7 +20,7 @@ def test_scan_and_text(spark, tmp_path):
 def test_store_and_rejects(spark, tmp_path):
     nodes = spark.createDataFrame([("File:a", "File", "a", "x,1"), ("Function:a:f", "Function", "f", 'say "hi"'), ("Impl:a:i", "Impl", "i", None)], "id string, label string, name string, content string")
     edges = spark.createDataFrame([("1", "File:a", "Function:a:f", "CONTAINS"), ("2", "Impl:a:i", "File:a", "USES"), ("3", "File:a", "nothing", "CONTAINS")], "id string, source_id string, target_id string, type string")
-    assert store.load_graph(nodes, edges, str(tmp_path / "g")) == {"nodes": 3, "edges": 1, "rejected": 2}
+    assert store.load_graph(nodes, edges, str(tmp_path / "g")) == {"nodes": 3, "edges": 1, "rejected": 2, "failed": {}, "lost": 0}
     store.write_csv(nodes, str(tmp_path / "csv"), ["id", "name", "content"])
     lines = {r["value"] for r in spark.read.text(str(tmp_path / "csv")).collect()}
     assert lines == {'File:a,a,"x,1"', 'Function:a:f,f,"say ""hi"""', "Impl:a:i,i,"}
@@ -33,9 +33,9 @@ def test_configs(spark):
 
 
 def test_registered_language(spark):
-    extract.register("zed", extract.PatternLanguage({"thing": r"(?m)^thing (?P<name>\w+)"}))
-    assert extract.by_patterns("x\nthing a\n", extract.LANGUAGES.pop("zed")) == [("definition", "a", "thing", None, 1, 1, None, None)]
-    assert extract.python_rows("def (") == [("skipped", None, None, None, 0, 0, "syntax error", None)]
+    extract.register("zed", extract.PatternLanguage([("thing", r"^thing (?P<name>\w+)", extract.M)]))
+    assert extract.by_patterns("x\nthing a\n", extract.LANGUAGES.pop("zed")) == [("definition", "a", "thing", None, 1, 1, None, "true", None)]
+    assert extract.python_rows("def (") == [("skipped", None, None, None, 0, 0, "syntax error", None, None)]
 
 
 def test_vectors_ties_and_odd_rows(spark):
