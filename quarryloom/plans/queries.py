@@ -863,6 +863,16 @@ def part_graph_rebuilt(spark, sf_dir):
     return nodes.select("id", "label", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
 
 
+@query(P.JAVA_ROWS)
+def part_java_rows(spark, sf_dir):
+    return extract.extracted(P.java_sources(spark, sf_dir)).select("path", "kind", "name", F.col("line").cast("int").alias("line"))
+
+
+@query(P.JAVA_SYMBOLS)
+def part_java_symbols(spark, sf_dir):
+    return extract.symbols(extract.extracted(P.java_sources(spark, sf_dir))).select("node_id", "exported")
+
+
 # Streaming shapes, as batches
 
 

@@ -31,6 +31,23 @@ def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat(F.lit("part/"), key, F.lit(".py")).alias("path"), content.alias("content"))
 
 
+JAVA = """import a.b.Thing%S;
+public class C%K {
+  // int no(int x) { }
+  private int run%K(int x) {
+    return make%S(x);
+  }
+}
+"""
+
+
+def java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): ``part/<key>.java`` for every part."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    content = F.replace(F.replace(F.lit(JAVA), F.lit("%K"), key), F.lit("%S"), size)
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("part/"), key, F.lit(".java")).alias("path"), content.alias("content"))
+
+
 P = "p AS (SELECT p_partkey AS k, p_size AS s, 'part/' || p_partkey || '.py' AS path FROM part)"
 
 
@@ -74,3 +91,10 @@ RESOLVED = each(
     "path, 'Function:' || path || ':_free' || k, 'Class:' || path || ':C' || k, 1.0",
     "path, 'Function:' || path || ':_free' || k, 'Method:' || path || ':run' || k, 1.0",
 )
+JAVA_ROWS = each(
+    "replace(path, '.py', '.java') AS path, 'import' AS kind, 'a.b.Thing' || s AS name, 0 AS line",
+    "replace(path, '.py', '.java'), 'definition', 'C' || k, 1",
+    "replace(path, '.py', '.java'), 'definition', 'run' || k, 3",
+    "replace(path, '.py', '.java'), 'call', 'make' || s, 4",
+)
+JAVA_SYMBOLS = each("'Class:' || replace(path, '.py', '.java') || ':C' || k AS node_id, true AS exported", "'Method:' || replace(path, '.py', '.java') || ':run' || k, false")

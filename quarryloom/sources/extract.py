@@ -1,7 +1,7 @@
 """Extraction from source text: definitions, calls, imports, heritage, assignments, types and docstrings.
 
-Python files are parsed with the standard library; eight further languages by
-patterns. ``register`` adds patterns or a parser, for instance one that walks a grammar that is
+Python files are parsed with the standard library, eight languages by patterns of
+their own, fourteen more by approximate ones. ``register`` adds patterns or a parser, for instance one that walks a grammar that is
 installed. All run as one Arrow pass over
 (path, content) and give rows with a ``kind``; views select a kind.
 """
@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import language_of
+from ..functions.scalars import is_exported, language_of
 from ..functions.tables import BUILTIN_CALLS, NODE_LABELS, NODE_TYPE_LABELS
 from ..operators.graph import first_wins
+from .patterns import OWN
 
 COLUMNS = ["kind", "name", "label", "owner", "line", "end_line", "detail", "extra", "scope"]
 SCHEMA = "path string, language string, seq long, kind string, name string, label string, owner string, line long, end_line long, detail string, extra string, scope string"
@@ -28,15 +29,18 @@ SCHEMA = "path string, language string, seq long, kind string, name string, labe
 
 @dataclass(frozen=True)
 class PatternLanguage:
-    """Patterns with a group ``name``, each with its flags: definitions by node type, calls, imports. Comments aren't stripped.
+    """Patterns with a group ``name``, each with its flags: definitions by node type, calls, imports.
 
-    ``continuation`` is the character that, at a line's end, joins it to the next one.
+    ``continuation`` is the character that, at a line's end, joins it to the next
+    one. ``comments`` is what is blanked first; without it comments are read too. A call
+    whose name is a definition's isn't one.
     """
 
     definitions: list[tuple[str, str, int]] = field(default_factory=list)
     calls: list[tuple[str, int]] = field(default_factory=list)
     imports: list[tuple[str, int]] = field(default_factory=list)
     continuation: str | None = None
+    comments: str | None = None
 
 
 I, M = re.IGNORECASE, re.MULTILINE
@@ -114,6 +118,7 @@ LANGUAGES = {
 }
 
 
+LANGUAGES |= {language: PatternLanguage(**told) for language, told in OWN.items()}
 #: Parsers by language, content -> rows of COLUMNS; what is registered here goes before patterns.
 PARSERS: dict[str, Callable[[str], list[tuple]]] = {}
 
@@ -124,20 +129,28 @@ def register(language: str, patterns: PatternLanguage | Callable[[str], list[tup
 
 
 def by_patterns(content: str, told: PatternLanguage) -> list[tuple]:
-    """Rows of all matches, by line and column of where a match starts; line numbers from 0."""
+    """Rows of all matches, by line and column of where a match starts, a definition's with its text (200 characters at most) as detail; line numbers from 0."""
     if told.continuation:
         content = content.replace(told.continuation + "\n", " ")
+    if told.comments:
+        content = re.sub(told.comments, lambda m: re.sub(r"[^\n]", " ", m[0]), content, flags=re.DOTALL)
     groups = [("definition", told.definitions), ("call", [("call_expression", *p) for p in told.calls]), ("import", [("include_statement", *p) for p in told.imports])]
     starts = [0] + [m.end() for m in re.finditer("\n", content)]
     line_of = lambda at: bisect_right(starts, at) - 1
-    found = []
+    found, declared = [], set()
     for kind, patterns in groups:
         for label, pattern, flags in patterns:
             for m in re.finditer(pattern, content, flags):
+                if kind == "definition" and told.comments:
+                    if m.start("name") in declared:
+                        continue
+                    declared.add(m.start("name"))
+                elif kind == "call" and m.start("name") in declared:
+                    continue
                 line = line_of(m.start())
-                found.append((line, m.start() - starts[line], kind, m["name"], label, line_of(m.end())))
+                found.append((line, m.start() - starts[line], kind, m["name"], label, line_of(m.end()), m[0].strip()[:200] if kind == "definition" else None))
     found.sort(key=lambda x: x[:2])  # what starts together stays in the order of the patterns
-    return [(kind, name, label, None, line, end, None, "true" if kind == "definition" else None, None) for line, _, kind, name, label, end in found]
+    return [(kind, name, label, None, line, end, text, None, None) for line, _, kind, name, label, end, text in found]
 
 
 def _type_name(node: ast.expr | None) -> str | None:
@@ -223,6 +236,31 @@ def python_rows(content: str) -> list[tuple]:
     return out
 
 
+def dumped(sources: DataFrame) -> DataFrame:
+    """(path, seq, depth, type, line, text): the syntax tree of every Python source, a row per node from the root down, its text cut to 80 characters; for looking at."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    todo = [(0, ast.parse(content or ""))]
+                except (SyntaxError, ValueError):
+                    continue
+                n = 0
+                while todo:
+                    depth, node = todo.pop()
+                    text = ast.get_source_segment(content, node) or "" if hasattr(node, "lineno") else ""
+                    rows.append((path, n, depth, type(node).__name__, getattr(node, "lineno", 1) - 1, text[:80]))
+                    todo += [(depth + 1, child) for child in reversed(list(ast.iter_child_nodes(node)))]
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["path", "seq", "depth", "type", "line", "text"])
+
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    python = sources.filter(language_of(F.col("path"), F.col("content")) == "python")
+    return python.select("path", "content").mapInArrow(run, "path string, seq long, depth long, type string, line long, text string")
+
+
 def extracted(sources: DataFrame) -> DataFrame:
     """Rows of every source (path, content), with the file's language and order; a language without a parser gives one ``skipped`` row. Calls of built-in names are left out."""
     languages, parsers = dict(LANGUAGES), {"python": python_rows, **PARSERS}
@@ -253,12 +291,12 @@ def without_builtins(rows: DataFrame) -> DataFrame:
 
 
 def symbols(rows: DataFrame) -> DataFrame:
-    """Definition rows as symbols and nodes: id ``Label:path:name``, owner ``Class:path:owner``. A node type of a pattern gives its label; one without a label is no symbol."""
+    """Definition rows as symbols and nodes: id ``Label:path:name``, owner ``Class:path:owner``. A node type of a pattern gives its label; one without a label is no symbol. Where a parser doesn't say whether it is exported, its language's rule does."""
     known = F.create_map(*[F.lit(x) for pair in NODE_TYPE_LABELS.items() for x in pair])
     label = F.when(F.col("label").isin(NODE_LABELS), F.col("label")).otherwise(F.element_at(known, F.col("label")))
     found = rows.filter("kind = 'definition'").withColumn("label", label).filter("label IS NOT NULL")
     owner = F.when(F.col("owner").isNotNull(), F.concat(F.lit("Class:"), "path", F.lit(":"), "owner"))
-    return found.select("path", "seq", "name", "label", F.concat("label", F.lit(":"), "path", F.lit(":"), "name").alias("node_id"), owner.alias("owner_id"), "line", "end_line", (F.col("extra") == "true").alias("exported"))
+    return found.select("path", "seq", "name", "label", F.concat("label", F.lit(":"), "path", F.lit(":"), "name").alias("node_id"), owner.alias("owner_id"), "line", "end_line", F.coalesce(F.col("extra") == "true", is_exported(F.col("language"), F.col("name"), F.col("detail"))).alias("exported"))
 
 
 def owner_edges(found: DataFrame) -> DataFrame:

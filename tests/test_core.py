@@ -178,13 +178,13 @@ def test_patterns_as_stated(spark):
 
 def test_registered_parser(spark):
     """A parser, say one that walks an installed grammar, goes before patterns; a language without any is skipped."""
-    sources = spark.createDataFrame([("a.zig", "fn main"), ("a.go", "func main"), ("a.kt", "fun x")], "path string, content string")
+    sources = spark.createDataFrame([("a.zig", "fn main"), ("a.go", "func main"), ("a.cob", "x")], "path string, content string")
     extract.register("go", lambda text: [("definition", text.split()[1], "Function", None, 0, 0, None, "true", None)])
     try:
         rows = {r["path"]: (r["kind"], r["name"]) for r in extract.extracted(sources).collect()}
     finally:
         extract.PARSERS.pop("go")
-    assert rows == {"a.zig": ("skipped", None), "a.go": ("definition", "main"), "a.kt": ("skipped", None)}
+    assert rows == {"a.zig": ("skipped", None), "a.go": ("definition", "main"), "a.cob": ("skipped", None)}
 
 
 def test_fixed_tables_are_whole():
@@ -252,3 +252,33 @@ def test_comment_runs_of_a_prefix(spark):
     rows = [(1, i, t) for i, t in [(1, "# a"), (2, "# b"), (3, "code"), (5, "# c"), (9, "# d")]]
     got = graph.runs(spark.createDataFrame(rows, "file long, line long, text string"), ["file"], "line", 2, "text", "#").collect()
     assert sorted((r["first"], r["last"], r["n"]) for r in got) == [(1, 2, 2), (5, 5, 1), (9, 9, 1)]
+
+
+OTHERS = {
+    "a.ts": ("import {x} from './m';\n// function no() {}\nexport class A {\n  go(x: number): void {\n    run(x);\n  }\n}\nexport const f = (a) => a;\ninterface I {}\n", {("definition", "A"), ("definition", "go"), ("definition", "f"), ("definition", "I"), ("import", "./m"), ("call", "run")}),
+    "A.java": ("import a.b.C;\npublic class A {\n  /* int no() {} */\n  public static int go(int x) {\n    return make(x);\n  }\n}\n", {("definition", "A"), ("definition", "go"), ("import", "a.b.C"), ("call", "go2")} - {("call", "go2")}),
+    "m.go": ('import "fmt2"\ntype T struct {}\nfunc (t T) Run(a int) {\n  work(a)\n}\nfunc main() {}\n', {("definition", "T"), ("definition", "Run"), ("definition", "main"), ("import", "fmt2"), ("call", "work")}),
+    "l.rs": ("use crate::net::tcp;\npub struct S;\nimpl S {\n    pub fn go(&self) { step(1) }\n}\n", {("definition", "S"), ("definition", "go"), ("import", "crate::net::tcp"), ("call", "step")}),
+    "x.c": ('#include "y.h"\nint add(int a, int b) {\n  return plus(a, b);\n}\n', {("definition", "add"), ("import", "y.h"), ("call", "plus")}),
+    "r.rb": ("require 'set'\nmodule N\n  class K\n    def ok?(x)\n      check(x) # not(this)\n    end\n  end\nend\n", {("definition", "N"), ("definition", "K"), ("definition", "ok?"), ("import", "set"), ("call", "check")}),
+    "p.php": ("<?php\nuse App\\Models\\User;\nclass P {\n  public function go($x) { return load($x); }\n}\n", {("definition", "P"), ("definition", "go"), ("import", "App\\Models\\User"), ("call", "load")}),
+    "k.kt": ("import a.b.*\nclass K {\n  fun go(x: Int) = find2(x)\n}\n", {("definition", "K"), ("definition", "go"), ("import", "a.b.*"), ("call", "find2")}),
+    "f.bas": ("Public Type T\n  x As Long\nEnd Type\nPublic Sub Go(a)\n  Call Other.Run(a)\n  y = Work(a) ' Not(this)\nEnd Sub\n", {("definition", "T"), ("definition", "Go"), ("call", "Run"), ("call", "Work")}),
+}
+
+
+def test_approximate_languages(spark):
+    rows = extract.extracted(spark.createDataFrame([(p, c) for p, (c, _) in OTHERS.items()], "path string, content string")).collect()
+    for path, (_, want) in OTHERS.items():
+        got = {(r["kind"], r["name"]) for r in rows if r["path"] == path}
+        assert want <= got, (path, want - got)
+        assert not {n for _, n in got} & {"no", "not", "this", "if", "return"}, path
+        assert not {n for k, n in got if k == "definition"} & {n for k, n in got if k == "call"}, path
+    labels = {r["name"]: r["label"] for r in extract.symbols(spark.createDataFrame(rows, extract.SCHEMA)).collect()}
+    assert (labels["A"], labels["I"], labels["T"], labels["N"], labels["ok?"], labels["add"]) == ("Class", "Interface", "Struct", "Module", "Method", "Function")
+
+
+def test_tree_dump(spark):
+    got = extract.dumped(spark.createDataFrame([("a.py", "x = f(1)\n"), ("b.py", "def ("), ("c.go", "x")], "path string, content string")).orderBy("seq").collect()
+    assert [(r["depth"], r["type"]) for r in got] == [(0, "Module"), (1, "Assign"), (2, "Name"), (3, "Store"), (2, "Call"), (3, "Name"), (4, "Load"), (3, "Constant")]
+    assert got[4]["text"] == "f(1)"

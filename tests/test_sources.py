@@ -34,7 +34,7 @@ def test_configs(spark):
 
 def test_registered_language(spark):
     extract.register("zed", extract.PatternLanguage([("thing", r"^thing (?P<name>\w+)", extract.M)]))
-    assert extract.by_patterns("x\nthing a\n", extract.LANGUAGES.pop("zed")) == [("definition", "a", "thing", None, 1, 1, None, "true", None)]
+    assert extract.by_patterns("x\nthing a\n", extract.LANGUAGES.pop("zed")) == [("definition", "a", "thing", None, 1, 1, "thing a", None, None)]
     assert extract.python_rows("def (") == [("skipped", None, None, None, 0, 0, "syntax error", None, None)]
 
 
