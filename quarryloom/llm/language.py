@@ -117,17 +117,17 @@ def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
     return LanguageModel(families, members, family_w, pairs)
 
 
-def train(docs: DataFrame, may_learn: Column, per_language: int = 500) -> LanguageModel | None:
-    """Fit on a sample: about ``per_language`` rows, drawn by the hash of their id, of each label.
+def train(docs: DataFrame, may_learn: Column, per_language: int = 500, most_rows: int = 16_000) -> LanguageModel | None:
+    """Fit on a sample: about ``per_language`` rows of each label, drawn by the hash of their id, or fewer of each where there are so many labels that all would be more than ``most_rows``.
 
-    None if no row has a label. At most about per_language profiles of 8 KB for
-    each label reach the driver.
+    None if no row has a label. At most about ``most_rows`` profiles of 8 KB reach the driver.
     """
     labelled = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
-    if counts.isEmpty():
+    labels = counts.count()
+    if not labels:
         return None
-    chance = F.lit(per_language) / F.col("_n")
+    chance = F.lit(min(per_language, most_rows / labels)) / F.col("_n")
     sample = labelled.join(F.broadcast(counts), "lang").filter(uniform(F.col("doc_id"), F.lit("lang")) < chance).select("lang", "text")
 
     def profiles(batches):
