@@ -55,9 +55,10 @@ class DigestIndex:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Append the texts of a batch (doc_id, digest) that the index lacks; returns the rows appended."""
-        batch = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        # written, or the optimizer would put the anti-join before the groupBy, and all copies of a hot text into one task
+        batch = written(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "digest-groups")
         new = batch.repartition(self.buckets, "digest").hint("merge").join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        new = written(new, "digest-batch")  # the index is read in full before it grows
+        new = written(new, "digest-new")  # the index is read in full before it grows
         new.repartition(self.buckets, "digest").write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
         return new
 
