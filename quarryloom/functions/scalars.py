@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tables import AMBIGUOUS, LANGUAGE_OF, TSX_SUFFIXES
+from .tables import AMBIGUOUS, EXPORTED_NAMES, LANGUAGE_OF, TSX_SUFFIXES
 
 
 def node_id(*parts) -> Column:
@@ -159,6 +159,13 @@ def vb6_as_vb(content: Column, name: Column) -> Column:
     return F.concat(F.lit("Module "), F.regexp_replace(name, r"\W", "_"), F.lit("\n"), content, F.lit("\nEnd Module\n"))
 
 
+def prop(columns: list[str], name: str, default=None) -> Column:
+    """A node's property by its own name or its exported one, whichever ``columns`` has, else its entry in ``extra``, else the default."""
+    names = [name, EXPORTED_NAMES.get(name), *[own for own, out in EXPORTED_NAMES.items() if out == name]]
+    found = [F.col(n).cast("string") for n in names if n in columns] + [F.col("extra")[n] for n in names if n and "extra" in columns]
+    return F.coalesce(*found, F.lit(default).cast("string"))
+
+
 def brief_signature(name: Column, params: Column, returns: Column) -> Column:
     """name(params)[ -> type], at most 500 characters, cut to 497 and three dots."""
     kind = F.trim(F.regexp_replace(F.coalesce(returns, F.lit("")), r"^\s*(->|:)\s*", ""))

@@ -136,6 +136,20 @@ def traces(edges: DataFrame, entries: DataFrame, most: int = 10, least: int = 3,
     return done.join(held.select("trace").distinct(), "trace", "left_anti")
 
 
+def community_names(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(community, name): the folder that most of a community's nodes (id, file_path) lie in, the first of equals."""
+    folder = F.regexp_replace("file_path", "/?[^/]*$", "")
+    votes = members.join(nodes.select("id", folder.alias("folder")), "id").groupBy("community", "folder").agg(F.count("*").alias("n"))
+    return votes.groupBy("community").agg(F.min_by("folder", F.struct(-F.col("n"), "folder")).alias("name"))
+
+
+def entry_scores(edges: DataFrame) -> DataFrame:
+    """(id, score): how much a node calls for each time it is called, and once more: entries call much and are called little."""
+    calls = edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("calls"))
+    called = edges.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("called"))
+    return calls.join(called, "id", "left").select("id", (F.col("calls") / (F.coalesce("called", F.lit(0)) + 1)).alias("score"))
+
+
 def blended(vector: Column, text: Column, other: Column, weight: float = 0.7) -> Column:
     """weight * cosine + (1 - weight) * Levenshtein similarity."""
     longest = F.greatest(F.length(text), F.length(other), F.lit(1))

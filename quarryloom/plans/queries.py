@@ -156,7 +156,17 @@ def bfs_hops(spark, sf_dir):
     return Q.hops(edges, inline(spark, [("Region:0",)], "id string"), 3)
 
 
-CONTAINED = "type = 'CONTAINS'"
+@query(f"WITH {PAGES_SQL}, votes AS (SELECT string_split(file_path, '/')[1] AS community, regexp_replace(file_path, '/?[^/]*$', '') AS folder, count(*) AS n FROM nodes GROUP BY 1, 2) SELECT community, folder AS name FROM votes QUALIFY row_number() OVER (PARTITION BY community ORDER BY n DESC, folder) = 1")
+def community_names(spark, sf_dir):
+    nodes = G.folder_hierarchy(page_files(spark, sf_dir))[0]
+    return Q.community_names(nodes.select("id", F.split("file_path", "/")[0].alias("community")), nodes)
+
+
+@query(f"WITH {COMMERCE_SQL}, a AS (SELECT source_id AS id, count(*) AS calls FROM edges GROUP BY 1), b AS (SELECT target_id AS id, count(*) AS called FROM edges GROUP BY 1) SELECT id, round(calls / (coalesce(called, 0) + 1), 9) AS score FROM a LEFT JOIN b USING (id)")
+def entry_scores(spark, sf_dir):
+    return Q.entry_scores(commerce(spark, sf_dir)[1]).withColumn("score", F.round("score", 9))
+
+
 NATIONS = f"WITH {COMMERCE_SQL}, rows AS (SELECT * FROM edges WHERE type = 'USES' AND target_id IN (SELECT 'Part:' || p_partkey FROM part)), m AS (SELECT 'Order:' || o_orderkey AS id, c_nationkey::BIGINT AS community FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT 'Part:' || p_partkey, p_size::BIGINT % 25 FROM part), both_ends AS (SELECT a.community AS x, b.community AS y FROM rows JOIN m a ON a.id = source_id JOIN m b ON b.id = target_id)"
 
 
@@ -868,6 +878,11 @@ def part_java_rows(spark, sf_dir):
     return extract.extracted(P.java_sources(spark, sf_dir)).select("path", "kind", "name", F.col("line").cast("int").alias("line"))
 
 
+@query(P.JAVA_BINDINGS)
+def part_java_bindings(spark, sf_dir):
+    return extract.extracted(P.java_sources(spark, sf_dir)).filter("kind = 'import'").select("path", "detail")
+
+
 @query(P.JAVA_SYMBOLS)
 def part_java_symbols(spark, sf_dir):
     return extract.symbols(extract.extracted(P.java_sources(spark, sf_dir))).select("node_id", "exported")

@@ -98,3 +98,4 @@ JAVA_ROWS = each(
     "replace(path, '.py', '.java'), 'call', 'make' || s, 4",
 )
 JAVA_SYMBOLS = each("'Class:' || replace(path, '.py', '.java') || ':C' || k AS node_id, true AS exported", "'Method:' || replace(path, '.py', '.java') || ':run' || k, false")
+JAVA_BINDINGS = each("replace(path, '.py', '.java') AS path, 'Thing' || s || '=Thing' || s AS detail")

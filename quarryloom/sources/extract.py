@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import is_exported, language_of
 from ..functions.tables import BUILTIN_CALLS, NODE_LABELS, NODE_TYPE_LABELS
 from ..operators.graph import first_wins
-from .patterns import OWN
+from .patterns import OWN, bindings
 
 COLUMNS = ["kind", "name", "label", "owner", "line", "end_line", "detail", "extra", "scope"]
 SCHEMA = "path string, language string, seq long, kind string, name string, label string, owner string, line long, end_line long, detail string, extra string, scope string"
@@ -128,8 +128,8 @@ def register(language: str, patterns: PatternLanguage | Callable[[str], list[tup
     (LANGUAGES if isinstance(patterns, PatternLanguage) else PARSERS)[language] = patterns
 
 
-def by_patterns(content: str, told: PatternLanguage) -> list[tuple]:
-    """Rows of all matches, by line and column of where a match starts, a definition's with its text (200 characters at most) as detail; line numbers from 0."""
+def by_patterns(content: str, told: PatternLanguage, language: str = "") -> list[tuple]:
+    """Rows of all matches, by line and column of where a match starts, a definition's with its text (200 characters at most) as detail, an import's with the names it binds; line numbers from 0."""
     if told.continuation:
         content = content.replace(told.continuation + "\n", " ")
     if told.comments:
@@ -148,7 +148,10 @@ def by_patterns(content: str, told: PatternLanguage) -> list[tuple]:
                 elif kind == "call" and m.start("name") in declared:
                     continue
                 line = line_of(m.start())
-                found.append((line, m.start() - starts[line], kind, m["name"], label, line_of(m.end()), m[0].strip()[:200] if kind == "definition" else None))
+                text = m[0].strip()[:200] if kind == "definition" else None
+                if kind == "import" and told.comments:
+                    text = bindings(language, content[m.start() : content.find("\n", m.end()) if "\n" in content[m.end() :] else len(content)])
+                found.append((line, m.start() - starts[line], kind, m["name"], label, line_of(m.end()), text))
     found.sort(key=lambda x: x[:2])  # what starts together stays in the order of the patterns
     return [(kind, name, label, None, line, end, text, None, None) for line, _, kind, name, label, end, text in found]
 
@@ -272,7 +275,7 @@ def extracted(sources: DataFrame) -> DataFrame:
                 if language in parsers:
                     found = parsers[language](content or "")
                 elif language in languages:
-                    found = by_patterns(content or "", languages[language])
+                    found = by_patterns(content or "", languages[language], language)
                 else:
                     found = [("skipped", None, None, None, 0, 0, "no parser", None, None)]
                 rows += [(path, language, i, *r) for i, r in enumerate(found)]

@@ -46,7 +46,7 @@ OWN = {
     "c_sharp": {
         "definitions": [("class_declaration", _JVM_MODS + r"class\s+" + _NAME, M), ("interface_declaration", _JVM_MODS + r"interface\s+" + _NAME, M), ("struct_declaration", _JVM_MODS + r"struct\s+" + _NAME, M), ("enum_declaration", _JVM_MODS + r"enum\s+" + _NAME, M), _typed_method("method_declaration")],
         "calls": [_CALL],
-        "imports": [(r"^[ \t]*(?:global\s+)?using\s+(?:static\s+)?(?P<name>[\w.]+)\s*;", M)],
+        "imports": [(r"^[ \t]*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?(?P<name>[\w.]+)\s*;", M)],
         "comments": _SLASHES,
     },
     "kotlin": {
@@ -116,3 +116,34 @@ OWN = {
         "comments": r"(?m)'[^\n]*",
     },
 }
+
+
+def _named(items: str, separator: str) -> list[tuple[str, str]]:
+    """(local, exported) of a list of names, each perhaps renamed by ``as``; of a qualified name the last part."""
+    out = []
+    for item in filter(None, map(str.strip, items.split(","))):
+        name, _, local = re.sub(r"^type\s+", "", item).partition(" as ")
+        name = name.strip().rsplit(separator, 1)[-1]
+        out.append((local.strip() or name, name))
+    return out
+
+
+def bindings(language: str, statement: str) -> str | None:
+    """The names that an import statement binds, as ``local=exported`` with commas between; None where it binds none by name."""
+    found: list[tuple[str, str]] = []
+    braces = re.search(r"\{([^}]*)\}", statement, re.DOTALL)
+    if language in ("javascript", "typescript"):
+        if default := re.match(r"\s*import\s+(?!type\b)([A-Za-z_$][\w$]*)\s*(?:,|\bfrom\b)", statement):
+            found.append((default[1], "default"))
+        if whole := re.search(r"\*\s+as\s+([A-Za-z_$][\w$]*)", statement):
+            found.append((whole[1], "*"))
+        found += _named(braces[1], ".") if braces else []
+    elif language in ("java", "kotlin") and (m := re.match(r"\s*import\s+(?:static\s+)?(\w+(?:\.\w+)*(?:\.\*)?(?:\s+as\s+\w+)?)", statement)):
+        found += [] if m[1].endswith("*") else _named(m[1], ".")
+    elif language == "c_sharp" and (m := re.match(r"\s*(?:global\s+)?using\s+(\w+)\s*=\s*([\w.]+)", statement)):
+        found.append((m[1], m[2].rsplit(".", 1)[-1]))
+    elif language == "rust" and (m := re.match(r"\s*(?:pub\s+)?use\s+([\w:]+(?:\s+as\s+\w+)?)", statement)):
+        found += [x for x in _named(braces[1] if braces else m[1], "::") if x[1] not in ("self", "*")]
+    elif language == "php" and (m := re.match(r"\s*use\s+(?:function\s+|const\s+)?([\w\\]+(?:\s+as\s+\w+)?)", statement)):
+        found += _named(braces[1] if braces else m[1], "\\")
+    return ",".join(f"{local}={name}" for local, name in found) or None

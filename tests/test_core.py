@@ -10,7 +10,7 @@ from quarryloom.functions import scalars as S
 from quarryloom.functions import tables as T
 from quarryloom.operators import graph, imports, rebuild, search
 from quarryloom.plans import queries as core
-from quarryloom.sources import extract, files, store
+from quarryloom.sources import extract, files, patterns, store
 from quarryloom.streaming import changes
 
 SF = "/root/testdata/sf0.001"
@@ -282,3 +282,28 @@ def test_tree_dump(spark):
     got = extract.dumped(spark.createDataFrame([("a.py", "x = f(1)\n"), ("b.py", "def ("), ("c.go", "x")], "path string, content string")).orderBy("seq").collect()
     assert [(r["depth"], r["type"]) for r in got] == [(0, "Module"), (1, "Assign"), (2, "Name"), (3, "Store"), (2, "Call"), (3, "Name"), (4, "Load"), (3, "Constant")]
     assert got[4]["text"] == "f(1)"
+
+
+BOUND = [
+    ("typescript", "import D, {a, b as c} from './m'", "D=default,a=a,c=b"),
+    ("javascript", "import * as all from 'm'", "all=*"),
+    ("java", "import a.b.C;", "C=C"),
+    ("java", "import a.b.*;", None),
+    ("kotlin", "import a.b.C as K", "K=C"),
+    ("c_sharp", "using X = A.B.C;", "X=C"),
+    ("c_sharp", "using A.B;", None),
+    ("rust", "use a::b::{c, d as e};", "c=c,e=d"),
+    ("rust", "use a::b as f;", "f=b"),
+    ("php", "use App\\User as U;", "U=User"),
+]
+
+
+@pytest.mark.parametrize(("language", "statement", "want"), BOUND)
+def test_named_bindings(language, statement, want):
+    assert patterns.bindings(language, statement) == want
+
+
+def test_properties_by_either_name(spark):
+    row = spark.createDataFrame([("p", None, {"lineCount": "3"})], "file_path string, startLine string, extra map<string,string>")
+    got = row.select(S.prop(row.columns, "filePath").alias("a"), S.prop(row.columns, "start_line", 7).alias("b"), S.prop(row.columns, "lineCount").alias("c"), S.prop(row.columns, "none", "d").alias("d")).first()
+    assert tuple(got) == ("p", "7", "3", "d")
