@@ -318,3 +318,21 @@ def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     rows, of = _classes(docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size, percent)
     stays = of.select(F.col("stays").alias(row)).distinct().unionByName(rows.filter("n = 0").select(F.col("row").alias(row)))
     return docs.join(stays, row, "left_semi").drop(row)
+
+
+#: DuckDB SQL for the rows of op4, by comparing all documents that share a shingle.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM rows x JOIN rows y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT b, c FROM reach JOIN sides ON a = id),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON id = doc_id
+"""

@@ -56,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact.SQL, "op8_chat_format": chat.SQL, "op9_fingerprints": merkle.SQL}
+    return {"op4_near_dedup": neardup.SQL, "op5_exact_dedup": exact.SQL, "op8_chat_format": chat.SQL, "op9_fingerprints": merkle.SQL}
