@@ -287,7 +287,7 @@ def entropy_chars(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(S.char_entropy(F.col("text")), 6).alias("bits"))
 
 
-@query()
+@query("SELECT doc_id, round(abs(-sum(p * log2(p))), 6) AS bits FROM (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, b, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY 1, 2)) GROUP BY 1")
 def entropy_bytes(spark, sf_dir):
     """Entropy of all bytes of the whole text."""
     return table(spark, sf_dir, "documents").select("doc_id", F.round(S.byte_entropy(F.encode("text", "UTF-8")), 6).alias("bits"))
