@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, split_identifier
+from .graph import pair_counts
 from .lineage import cut
 
 
@@ -94,18 +95,17 @@ def propagated_labels(edges: DataFrame, rounds: int) -> DataFrame:
 
 def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(community, internal, total, cohesion): edges inside a community over edges that touch it."""
-    side = lambda s: members.select(F.col("id").alias(f"{s}_id"), F.col("community").alias(f"{s}_c"))
-    both = edges.join(side("source"), "source_id").join(side("target"), "target_id")
-    inside = (F.col("source_c") == F.col("target_c")).cast("long").alias("inside")
-    touch = both.select(F.explode(F.array_distinct(F.array("source_c", "target_c"))).alias("community"), inside)
-    return touch.groupBy("community").agg(F.sum("inside").alias("internal"), F.count("*").alias("total")).withColumn("cohesion", F.col("internal") / F.col("total"))
+    counted = pair_counts(edges, members, "community")
+    inside = F.when(F.col("source_community") == F.col("target_community"), F.col("n")).otherwise(0).alias("inside")
+    touch = counted.select(F.explode(F.array_distinct(F.array("source_community", "target_community"))).alias("community"), inside, "n")
+    return touch.groupBy("community").agg(F.sum("inside").alias("internal"), F.sum("n").alias("total")).withColumn("cohesion", F.col("internal") / F.col("total"))
 
 
 def interactions(edges: DataFrame, members: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, n): edges between two communities, at least ``least``."""
-    side = lambda s: members.select(F.col("id").alias(f"{s}_id"), F.col("community").alias(f"{s}_c"))
-    both = edges.join(side("source"), "source_id").join(side("target"), "target_id").filter("source_c <> target_c")
-    return both.groupBy(F.least("source_c", "target_c").alias("a"), F.greatest("source_c", "target_c").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    counted = pair_counts(edges, members, "community").filter("source_community <> target_community")
+    pair = [F.least("source_community", "target_community").alias("a"), F.greatest("source_community", "target_community").alias("b")]
+    return counted.groupBy(*pair).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def traces(edges: DataFrame, entries: DataFrame, most: int = 10, least: int = 3, per_entry: int | None = None) -> DataFrame:

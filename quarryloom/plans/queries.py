@@ -120,7 +120,7 @@ def part_fan_in_topk(spark, sf_dir):
 @query(f"WITH {COMMERCE_SQL} SELECT a.label AS source_label, b.label AS target_label, count(*) AS n FROM edges JOIN nodes a ON a.id = source_id JOIN nodes b ON b.id = target_id GROUP BY 1, 2")
 def edges_with_labels(spark, sf_dir):
     nodes, edges = commerce(spark, sf_dir)
-    return G.with_labels(edges, nodes).groupBy("source_label", "target_label").agg(F.count("*").alias("n"))
+    return G.pair_counts(edges, nodes, "label")
 
 
 @query(f"WITH {COMMERCE_SQL}, kept AS (SELECT id FROM nodes WHERE id NOT LIKE 'Customer:%5') SELECT * FROM edges WHERE source_id NOT IN (SELECT id FROM kept) OR target_id NOT IN (SELECT id FROM kept)")
@@ -141,7 +141,7 @@ def edges_allowed_pairs(spark, sf_dir):
 @query(f"WITH {COMMERCE_SQL} SELECT a.label AS source_label, b.label AS target_label, count(*) AS n FROM edges JOIN nodes a ON a.id = source_id JOIN nodes b ON b.id = target_id WHERE (a.label, b.label) NOT IN ({values(PAIRS)}) GROUP BY 1, 2")
 def rejects_by_pair(spark, sf_dir):
     nodes, edges = commerce(spark, sf_dir)
-    return G.rejected_by_pair(G.with_labels(edges, nodes), 5, PAIRS)
+    return G.rejected_by_pair(G.pair_counts(edges, nodes, "label"), 5, PAIRS)
 
 
 @query(f"WITH {COMMERCE_SQL} SELECT * FROM edges WHERE source_id NOT LIKE 'Nation:1%' AND target_id NOT LIKE 'Nation:1%'")

@@ -1,6 +1,7 @@
 """Operators that no query's SQL covers, on small rows and against plain Python."""
 
 import math
+import subprocess
 
 import numpy as np
 import pytest
@@ -70,8 +71,23 @@ def test_chunks_by_group(spark):
     assert {(r["repo"], r["seq"]): r["chunk"] for r in got} == {("a", 0): 0, ("a", 1): 1, ("a", 2): 2, ("a", 3): 3, ("a", 4): 3, ("b", 0): 0, ("b", 1): 0, ("b", 2): 1}
 
 
-def test_git_state(tmp_path):
-    assert files.git_state(str(tmp_path)) == {"is_repo": False, "root": None, "head": None}
+def test_git(spark, tmp_path):
+    root = str(tmp_path)
+    assert files.git_state(root) == {"is_repo": False, "root": None, "head": None}
+    assert files.changed_in_git(spark, root).count() == 0
+    git = lambda *words: subprocess.run(["git", "-C", root, "-c", "user.name=t", "-c", "user.email=t@example.org", *words], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "a.py").write_text("1")
+    (tmp_path / "b.py").write_text("1")
+    git("add", ".")
+    git("commit", "-qm", "first")
+    (tmp_path / "a.py").write_text("2")
+    (tmp_path / "b.py").write_text("2")
+    git("add", "b.py")
+    told = files.git_state(root)
+    assert told["is_repo"] and told["root"].endswith(tmp_path.name) and len(told["head"]) == 40
+    changed = lambda scope: {r["path"] for r in files.changed_in_git(spark, root, scope).collect()}
+    assert (changed("unstaged"), changed("staged"), changed("all")) == ({"a.py"}, {"b.py"}, {"a.py", "b.py"})
 
 
 def test_layouts_and_flattening(spark, tmp_path):
@@ -96,6 +112,8 @@ def test_load_counts_what_fails_and_clears(spark, tmp_path):
     edges = spark.createDataFrame([("1", "File:a", "Function:a:f", "CONTAINS")], "id string, source_id string, target_id string, type string")
     told = store.load_graph(nodes, edges, path)
     assert told == {"nodes": 2, "edges": 1, "rejected": 0, "failed": {"File": 1, "Odd": 1}, "lost": 2}
+    store.open_graph(spark, path)
+    assert spark.sql("SELECT n.name FROM edges e JOIN nodes n ON n.id = e.target_id").first()["name"] == "f"
     store.clear_graph(spark, path)
     assert spark.read.parquet(f"{path}/nodes").count() == 0 and "name" in spark.read.parquet(f"{path}/nodes").columns
 
