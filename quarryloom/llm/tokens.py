@@ -8,10 +8,14 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: White space by Unicode's property, as the tokenizer's own splitter has it.
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: Byte-level BPE never merges across these pieces: a word with one space before it, or white space.
 _PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: White space of any kind but the blank.
+_ODD_SPACE = re.compile(r"[^\S ]")
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MOST_CACHED = 300_000
 
@@ -40,12 +44,14 @@ class Ids(dict):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         self.special = [t["content"] for t in told["added_tokens"]]
-        self.encode = self._encode
+        self.encode, self.opens = self._encode, None
         if ranks := _ranks(told):
             import tiktoken
 
             # the same merges, several times as fast on single words
             self.encode = tiktoken.Encoding("pieces", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+            self.opens = np.zeros(max(ranks.values()) + 1, bool)  # ids of tokens that begin with a space
+            self.opens[[i for b, i in ranks.items() if b[:1] == b" "]] = True
 
     @functools.cached_property
     def tokenizer(self):
@@ -69,6 +75,29 @@ class Ids(dict):
             return array("I", self._encode(text)).tobytes()
         return b"".join(map(self.__getitem__, _PIECE.findall(text)))
 
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words without ASCII white space, each encoded behind a space, and how many ids each has.
+
+        Merges never cross the space before a word, and only a word's first token
+        begins with one: so all are encoded as one text, and parted there.
+        """
+        odd = set()
+        joined = "".join(f" {w}" for w in words)
+        if self.opens is None:
+            odd = set(range(len(words)))
+        elif any(s in joined for s in self.special) or _ODD_SPACE.search(joined):
+            odd = {i for i, w in enumerate(words) if any(s in w for s in self.special) or _ODD_SPACE.search(w)}
+        if odd:
+            joined = "".join(f" {w}" for i, w in enumerate(words) if i not in odd)
+        plain = np.array(self.encode(joined) if joined else [], np.uint32)
+        if not odd:
+            return plain, np.diff(np.flatnonzero(self.opens[plain]), append=len(plain))
+        starts = np.flatnonzero(self.opens[plain]) if len(plain) else np.zeros(0, np.int64)
+        parts, at = iter(np.split(plain, starts[1:]) if len(plain) else ()), []
+        for i, w in enumerate(words):
+            at.append(np.frombuffer(self.one(" " + w), "<u4") if i in odd else next(parts))
+        return np.concatenate(at) if at else plain, np.array(list(map(len, at)), np.int64)
+
     def many(self, texts: list[str]) -> list[bytes]:
         return list(map(self.one, texts))
 

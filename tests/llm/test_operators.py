@@ -146,6 +146,16 @@ def test_token_ids_equal_the_tokenizers():
         assert ids.one(t) == np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_words_encoded_together_equal_words_alone(docs):
+    ids = tokens.ids_of(tokens.default_path())
+    some = sorted({w for _, t, _, _ in docs for w in words(t)})[:20_000]
+    for ws in (some, ["a\xa0b", "c", "\u2003d", "<|endoftext|>x", "e\x1cf", "it's", "'s", "12ab!", "é日本", "�", "g"], ["one"], []):
+        flat, per = ids.words(ws)
+        assert [flat[at - n : at].tobytes() for at, n in zip(np.cumsum(per), per, strict=True)] == [ids.one(" " + w) for w in ws]
+    flat, per = lm.subwords([b" ", b"ab", b" ", b"cd", b" "], tokens.default_path(), 50256)
+    assert flat.tobytes() == b"".join(np.array([50256], "<u4").tobytes() + (ids.one(" " + w) if w else b"") for w in ("ab", "cd", "")) and per.sum() == len(flat) and list(per[::2]) == [1, 1, 1]
+
+
 def shingles(text, size):
     w = words(text)
     return frozenset([tuple(w)] if 0 < len(w) < size else [tuple(w[i : i + size]) for i in range(len(w) - size + 1)])
