@@ -12,7 +12,8 @@ from ..operators import imports as I
 from ..operators import lookups as L
 from ..operators import rebuild as R
 from ..operators import search as Q
-from ..sources import extract, files
+from ..operators.lineage import cut
+from ..sources import extract, files, store
 from ..streaming import changes
 from . import sources as P
 from .bindings import COMMERCE_SQL, PAGES_SQL, SNAPSHOTS_SQL, SYMBOLS_SQL, commerce, page_files, snapshots, symbol_table, table
@@ -217,6 +218,55 @@ def process_traces(spark, sf_dir):
     return got.select(F.array_join("trace", ">").alias("trace"))
 
 
+# Tables at rest
+
+
+def _field(x: str) -> str:
+    """A CSV field in SQL."""
+    return f"CASE WHEN regexp_matches({x}, '[,\"\\r\\n]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
+
+
+@query(f"WITH {PAGES_SQL} SELECT label, {_field('id')} || ',' || {_field('name')} || CASE WHEN label = 'File' THEN ',,' || {_field('file_path')} || ',,,,' ELSE ',' || {_field('file_path')} END AS line FROM nodes")
+def csv_node_lines(spark, sf_dir):
+    """File and Folder nodes as lines of their own layouts."""
+    nodes = store.flattened(G.folder_hierarchy(page_files(spark, sf_dir))[0])
+    line = F.when(F.col("label") == "File", store.csv_lines(nodes, store.columns_of("File"))).otherwise(store.csv_lines(nodes, store.columns_of("Folder")))
+    return nodes.select("label", line.alias("line"))
+
+
+@query(f"WITH {PAGES_SQL} SELECT {_field('source_id')} || ',' || {_field('target_id')} || ',' || {_field('id')} || ',CONTAINS,,,,' AS line FROM edges")
+def csv_relation_lines(spark, sf_dir):
+    edges = G.folder_hierarchy(page_files(spark, sf_dir))[1].withColumnsRenamed({"source_id": "from", "target_id": "to"})
+    return edges.select(store.csv_lines(edges, T.RELATION_COLUMNS).alias("line"))
+
+
+@query("SELECT 'Customer' AS label, count(*) AS n FROM customer UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Region', count(*) FROM region UNION ALL SELECT 'Supplier', count(*) FROM supplier")
+def load_lost_by_label(spark, sf_dir):
+    """A load of nodes whose labels the schema lacks: all are lost, counted by label."""
+    nodes, edges = commerce(spark, sf_dir)
+    told = store.load_graph(nodes, edges.withColumn("id", F.concat_ws("-", "source_id", "target_id")), f"{cut(spark.range(0)).inputFiles()[0].rsplit('/', 1)[0]}-graph")
+    return inline(spark, sorted(told["failed"].items()), "label string, n long")
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT old.path, old.hash FROM old JOIN cur ON old.path = cur.path AND old.hash = cur.hash WHERE old.path NOT LIKE '%5'")
+def parse_cache_at_rest(spark, sf_dir):
+    """A cache put to rest, some of it dropped, asked for what still holds."""
+    current, old = snapshots(spark, sf_dir)
+    cache = store.ParseCache(spark, f"{cut(spark.range(0)).inputFiles()[0].rsplit('/', 1)[0]}-cache")
+    cache.put(old.withColumn("rows", F.lit("[]")), 1)
+    cache.drop(old.filter("path LIKE '%5'").select("path"), 2)
+    return cache.get(current).select("path", "hash")
+
+
+@query("SELECT count(*) AS n FROM embeddings")
+def embeddings_stored(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    path = f"{cut(spark.range(0)).inputFiles()[0].rsplit('/', 1)[0]}-embeddings"
+    store.store_embeddings(rows, path)
+    left = store.to_embed(rows, store.stored_embeddings(spark, path))
+    return store.stored_embeddings(spark, path).join(left, "id", "left_anti").agg(F.count("*").alias("n"))
+
+
 # Snapshots and hashes
 
 
@@ -248,9 +298,7 @@ def incremental_rebuild(spark, sf_dir):
 
 @query(f"WITH {SNAPSHOTS_SQL} SELECT old.path, old.hash FROM old JOIN cur ON old.path = cur.path AND old.hash = cur.hash")
 def cache_hit_join(spark, sf_dir):
-    from ..sources.store import cached
-
-    return cached(*snapshots(spark, sf_dir))
+    return store.cached(*snapshots(spark, sf_dir))
 
 
 # Scalars
@@ -434,6 +482,30 @@ def vb6_rewritten(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.vb6_as_vb(code, F.concat(F.lit("m"), key)).alias("code"))
 
 
+@query("SELECT n_nationkey AS id, '@' || n_name || '/' AS alias, 'src/' || n_regionkey || '/' AS target, 'example.org/' || n_nationkey AS go, 'App' || n_regionkey AS space, 'lib/' || n_nationkey AS folder, 'A.N' || n_nationkey AS root FROM nation")
+def configs_of_nations(spark, sf_dir):
+    """Configuration files for every nation, read back."""
+    key, region = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    ts = F.concat(F.lit('{ // paths\n "compilerOptions": {"paths": {"@'), "n_name", F.lit('/*": ["src/'), region, F.lit('/*", "x"]}}}'))
+    php = F.concat(F.lit('{"autoload": {"psr-4": {"App'), region, F.lit('": "old"}}, "autoload-dev": {"psr-4": {"App'), region, F.lit('": ["lib/'), key, F.lit('/", "y"]}}}'))
+    project = F.concat(F.lit("<Project><RootNamespace>A.N"), key, F.lit("</RootNamespace></Project>"))
+    aliases, spaces = files.tsconfig_aliases(ts), files.psr4(php)
+    go = files.go_module(F.concat(F.lit("// m\nmodule example.org/"), key, F.lit("\ngo 1.2\n")))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.map_keys(aliases)[0].alias("alias"), F.map_values(aliases)[0].alias("target"), go.alias("go"), F.map_keys(spaces)[0].alias("space"), F.map_values(spaces)[0].alias("folder"), files.root_namespace(F.lit("a/x.csproj"), project).alias("root"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def file_texts(spark, sf_dir):
+    """Texts as the bytes of files, read back: none is binary."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return files.texts(rows).select(F.col("path").cast("long").alias("doc_id"), F.sha2("content", 256).alias("hash"))
+
+
+@query("SELECT 'Part:' || p_partkey || ':' || p_name AS id FROM part")
+def node_ids(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(S.node_id("Part", F.col("p_partkey"), F.col("p_name")).alias("id"))
+
+
 @query("SELECT doc_id, sha256(text) AS hash, length(text) - length(replace(text, chr(10), '')) AS line_count FROM documents")
 def file_facts(spark, sf_dir):
     """Texts as files: digest of the bytes, and lines."""
@@ -873,6 +945,12 @@ def part_graph_rebuilt(spark, sf_dir):
     return nodes.select("id", "label", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
 
 
+@query(P.PATTERN_ROWS)
+def part_pattern_rows(spark, sf_dir):
+    """Sources in the eight languages that go by fixed patterns, for every part."""
+    return extract.extracted(P.pattern_sources(spark, sf_dir)).select("path", "kind", "name", "label", F.col("line").cast("int").alias("line"))
+
+
 @query(P.JAVA_ROWS)
 def part_java_rows(spark, sf_dir):
     return extract.extracted(P.java_sources(spark, sf_dir)).select("path", "kind", "name", F.col("line").cast("int").alias("line"))

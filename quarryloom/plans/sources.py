@@ -99,3 +99,31 @@ JAVA_ROWS = each(
 )
 JAVA_SYMBOLS = each("'Class:' || replace(path, '.py', '.java') || ':C' || k AS node_id, true AS exported", "'Method:' || replace(path, '.py', '.java') || ':run' || k, false")
 JAVA_BINDINGS = each("replace(path, '.py', '.java') AS path, 'Thing' || s || '=Thing' || s AS detail")
+
+#: Sources of languages that go by patterns, and the rows that each gives: kind, name, label, line.
+PATTERNED = {
+    "abap": ("REPORT z%K.\nFORM go%K.\n  PERFORM run%S.\nINCLUDE inc%S.\n", [("definition", "z%K", "report", 0), ("definition", "go%K", "form_definition", 1), ("call", "run%S", "call_expression", 2), ("import", "inc%S", "include_statement", 3)]),
+    "alg": ("procedure p%K;\nbegin q%S (1) end\n", [("definition", "p%K", "procedure_declaration", 0), ("call", "q%S", "call_expression", 1)]),
+    "asm": ("main%K:\n  call f%S\n.include \"m%S.inc\"\n", [("definition", "main%K", "function_definition", 0), ("call", "f%S", "call_expression", 1), ("import", "m%S.inc", "include_statement", 2)]),
+    "forth": ("VARIABLE v%K\n: w%K 1 + ;\nREQUIRE lib%S\n", [("definition", "v%K", "variable_definition", 0), ("definition", "w%K", "word_definition", 1), ("import", "lib%S", "include_statement", 2)]),
+    "mps": ("L%K ;\n DO SUB%S\n SET X=$$FN%S\n", [("definition", "L%K", "function_definition", 0), ("call", "SUB%S", "call_expression", 1), ("call", "FN%S", "call_expression", 2)]),
+    "ps": ("/f%K { 1 add } bind def\n/v%S 3 def\n(a%S.ps) run\n", [("definition", "f%K", "procedure_def", 0), ("definition", "v%S", "variable_definition", 1), ("import", "a%S.ps", "include_statement", 2)]),
+    "rpgle": ("DCL-PROC m%K;\nEXSR s%S;\n/COPY c%S\n", [("definition", "m%K", "dcl_proc", 0), ("call", "s%S", "call_expression", 1), ("import", "c%S", "include_statement", 2)]),
+    "tcl": ("namespace eval n%K {\n}\nproc d%K {a} {\n}\npackage require T%S\n", [("definition", "n%K", "module", 0), ("definition", "d%K", "proc_definition", 2), ("import", "T%S", "include_statement", 4)]),
+}
+
+
+def pattern_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a source in every patterned language for every part."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    each_language = F.explode(F.array(*[F.struct(F.lit(ext).alias("ext"), F.lit(text).alias("text")) for ext, (text, _) in PATTERNED.items()]))
+    rows = table(spark, sf_dir, "part").select(key.alias("key"), size.alias("size"), each_language.alias("s"))
+    content = F.replace(F.replace(F.col("s.text"), F.lit("%K"), F.col("key")), F.lit("%S"), F.col("size"))
+    return rows.select(F.concat(F.lit("part/"), "key", F.lit("."), "s.ext").alias("path"), content.alias("content"))
+
+
+def _said(name: str) -> str:
+    return "replace(replace('" + name + "', '%K', k::VARCHAR), '%S', s::VARCHAR)"
+
+
+PATTERN_ROWS = each(*[f"replace(path, '.py', '.{ext}') AS path, '{kind}' AS kind, {_said(name)} AS name, '{label}' AS label, {line} AS line" for ext, (_, rows) in PATTERNED.items() for kind, name, label, line in rows])
