@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,11 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder, read it back.
 
-    An executor lost later costs a re-read, not the work that led here.
+    An executor lost later costs a re-read, not the work that led here. While it is
+    written, batches between the JVM and Python have BATCH_ROWS rows at most, so that neither side holds many texts.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
