@@ -331,7 +331,9 @@ def test_lm_learns_from_documents_outside_the_draw(spark):
     assert held[0].keys() == held[1].keys() and all(held[0][i] > held[1][i] for i in held[0])
 
 
-def test_lm_left_neighbours_of_all_training_documents(spark, docs):
+@pytest.mark.parametrize("fan_in", [64, 2])
+def test_lm_left_neighbours_of_all_training_documents(spark, docs, monkeypatch, fan_in):
+    monkeypatch.setattr(lm, "FAN_IN", fan_in)
     rows = spark.createDataFrame([(i, i % 3 == 0, t) for i, t, _, _ in docs[:60]], "doc_id long, held_out boolean, text string").repartition(5)
     got = lm.counted_left(lm.blocks(rows, tokens.default_path(), 50256).filter("blob IS NOT NULL").select("block", "size", "blob"), 50256)
     want = np.zeros((50257, lm.KINDS))
