@@ -1,7 +1,7 @@
 """Extraction from source text: definitions, calls, imports, heritage, assignments, types and docstrings.
 
 Python files are parsed with the standard library, eight languages by patterns of
-their own, fourteen more by approximate ones. ``register`` adds patterns or a parser, for instance one that walks a grammar that is
+their own, fifteen more by approximate ones. ``register`` adds patterns or a parser, for instance one that walks a grammar that is
 installed. All run as one Arrow pass over
 (path, content) and give rows with a ``kind``; views select a kind.
 """
