@@ -165,16 +165,20 @@ def candidates(configs: Configs) -> Column:
 
 
 def resolved(imports: DataFrame, files: DataFrame, configs: Configs | None = None) -> DataFrame:
-    """(from_file, raw_path, target): the files that imports (language, from_file, raw_path) mean, of ``files`` (path); imports of nothing known are left out."""
+    """(from_file, raw_path, target): the files that imports (language, from_file, raw_path) mean, of ``files`` (path); imports of nothing known are left out.
+
+    Both sides of every join are sorted: Spark doesn't count what an explode adds, and would
+    send tables many times the broadcast threshold through the driver.
+    """
     paths = files.select("path").distinct()
     tries = imports.select("language", "from_file", "raw_path").distinct().select("from_file", "raw_path", F.posexplode(candidates(configs or Configs())).alias("rank", "c"))
     tries = tries.select("from_file", "raw_path", "rank", "c.how", "c.key", "c.ext").filter("key IS NOT NULL AND key <> ''")
-    of = lambda *how: tries.filter(F.col("how").isin(*how))
+    of = lambda *how: tries.filter(F.col("how").isin(*how)).hint("merge")
     by_path = of("path").join(paths.select("path", F.col("path").alias("key")), "key")
     by_suffix = of("suffix").join(unique_suffixes(suffix_index(paths)).select(F.col("suffix").alias("key"), "path"), "key")
     lower = paths.select(F.lower("path").alias("path"), F.col("path").alias("real"))
-    either = unique_suffixes(suffix_index(lower)).join(lower.groupBy("path").agg(F.min("real").alias("real"), F.count("*").alias("n")).filter("n = 1"), "path")
-    by_either = of("suffix_ci").withColumn("key", F.lower("key")).join(either.select(F.col("suffix").alias("key"), F.col("real").alias("path")), "key")
+    either = unique_suffixes(suffix_index(lower)).hint("merge").join(lower.groupBy("path").agg(F.min("real").alias("real"), F.count("*").alias("n")).filter("n = 1"), "path")
+    by_either = of("suffix_ci").withColumn("key", F.lower("key")).hint("merge").join(either.select(F.col("suffix").alias("key"), F.col("real").alias("path")), "key")
     folders = F.filter(F.split(_folder_of(F.col("path")), "/"), lambda p: p != "")
     n = F.size("parts")
     tails = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("parts", i, n), "/"))
@@ -187,4 +191,4 @@ def resolved(imports: DataFrame, files: DataFrame, configs: Configs | None = Non
     for more in (by_suffix, by_either, by_folder, by_head):
         found = found.unionByName(more)
     first = found.groupBy("from_file", "raw_path").agg(F.min("rank").alias("rank"))
-    return found.join(first, ["from_file", "raw_path", "rank"]).select("from_file", "raw_path", F.col("path").alias("target")).distinct()
+    return found.hint("merge").join(first, ["from_file", "raw_path", "rank"]).select("from_file", "raw_path", F.col("path").alias("target")).distinct()

@@ -1,6 +1,7 @@
 """Operators that no query's SQL covers, on small rows and against plain Python."""
 
 import math
+import re
 import subprocess
 
 import numpy as np
@@ -42,6 +43,19 @@ IMPORTS = [
 ]
 
 
+def joins_of(df) -> list[str]:
+    """The plan's joins, after the query ran."""
+    df.collect()
+    return re.findall(r"\w+Join\b", df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+
+
+def test_imports_send_no_table_through_the_driver(spark):
+    """However small Spark takes the tables for: it doesn't count what explodes add."""
+    rows = spark.createDataFrame([i[:3] for i in IMPORTS], "language string, from_file string, raw_path string")
+    joins = joins_of(imports.resolved(rows, spark.createDataFrame([(f,) for f in FILES], "path string")))
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def test_imports_by_language(spark):
     configs = imports.Configs({"@/": "web/src/"}, "example.com/mod", {"App\\": "app/"}, [("My.App", "App")], {"Core": "Sources/Core"})
     rows = spark.createDataFrame([i[:3] for i in IMPORTS], "language string, from_file string, raw_path string")
