@@ -927,7 +927,9 @@ def part_graph_edges(spark, sf_dir):
 
 @query(P.RESOLVED)
 def part_calls_resolved(spark, sf_dir):
-    rows = _part_rows(spark, sf_dir)
+    """A source is many times its part's size on disk, so tasks go by rows; each source is parsed once."""
+    parts = P.part_sources(spark, sf_dir)
+    rows = cut(extract.extracted(parts.repartition(1 + parts.count() // 10_000)))
     reach = inline(spark, [], "from_file string, target string")
     return Q.resolved_calls(extract.enclosing(rows), extract.symbols(rows), reach).select("path", "source_id", "target_id", "confidence")
 

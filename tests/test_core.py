@@ -56,6 +56,14 @@ def test_imports_send_no_table_through_the_driver(spark):
     assert joins and set(joins) == {"SortMergeJoin"}
 
 
+def test_calls_send_no_table_through_the_driver(spark):
+    """However small Spark takes the tables for: it doesn't count what parsers add."""
+    symbols = spark.createDataFrame([("a.py", "f", "Function", "Function:a.py:f"), ("b.py", "g", "Function", "Function:b.py:g")], "path string, name string, label string, node_id string")
+    calls = spark.createDataFrame([("a.py", 0, "f", "File:a.py"), ("a.py", 1, "g", "File:a.py")], "path string, seq long, name string, source_id string")
+    joins = joins_of(search.resolved_calls(calls, symbols, spark.createDataFrame([("a.py", "b.py")], "from_file string, target string")))
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def test_imports_by_language(spark):
     configs = imports.Configs({"@/": "web/src/"}, "example.com/mod", {"App\\": "app/"}, [("My.App", "App")], {"Core": "Sources/Core"})
     rows = spark.createDataFrame([i[:3] for i in IMPORTS], "language string, from_file string, raw_path string")
