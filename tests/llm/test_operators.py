@@ -331,6 +331,22 @@ def test_lm_learns_from_documents_outside_the_draw(spark):
     assert held[0].keys() == held[1].keys() and all(held[0][i] > held[1][i] for i in held[0])
 
 
+def test_lm_learns_from_every_window():
+    """Subwords that stand in one window each are all learned, none is the draw's."""
+    rng = np.random.default_rng(4)
+    net = lm.Attention(rng.integers(0, lm.CLASSES, 3000), 2999)
+    ids, opens = rng.permutation(2999), np.array([0, 10, 1500])
+    change, places = net.learn([(ids, opens)])
+    seen = np.bincount(np.where(np.isin(np.arange(len(ids)), opens), 2999, np.append(2999, ids[:-1])), minlength=3000)
+    assert (places == seen).all() and ((change["E"] != 0).any(1) == (seen > 0)).all()
+
+
+def test_lm_draws_no_sample(spark, docs):
+    rows = spark.createDataFrame([(i, t) for i, t, _, _ in docs[:40]], "doc_id long, text string")
+    none, all_of_them = ({r["doc_id"]: r["score"] for r in lm.score(rows, sample=n).collect()} for n in (0, 400))
+    assert none.keys() == all_of_them.keys() and all(abs(none[i] - all_of_them[i]) < 1e-3 for i in none)
+
+
 @pytest.mark.parametrize("fan_in", [64, 2])
 def test_lm_left_neighbours_of_all_training_documents(spark, docs, monkeypatch, fan_in):
     monkeypatch.setattr(lm, "FAN_IN", fan_in)
